@@ -15,8 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return quality_rules.apply_rules(rows, carry=("_row",)).where("kept").select("_row.*")
+    return quality_rules.keep(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,14 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[s
     return measure(docs, carry).withColumns({"base_failed": base, "failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    # A filter right above would be pushed below and evaluate the counts once for every rule that uses them.
+    judged = apply_rules(rows, rules, ("_row",)).withColumn("_place", F.monotonically_increasing_id())
+    return judged.where("kept AND _place >= 0").select("_row.*")
+
+
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, row_number() OVER () AS r FROM documents),
