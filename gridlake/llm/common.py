@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only while rows x row_bytes stays under this; beyond it the join shuffles.
+#: A side of a join is broadcast only while its rows sum up to no more than this; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
 
 
@@ -33,12 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
-    """big join small: small is counted and broadcast under BROADCAST_BYTES, else both are shuffled by the key.
+def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int | Column) -> DataFrame:
+    """big join small: small is measured and broadcast under BROADCAST_BYTES, else both are shuffled by the key.
 
-    small should be a saved table, so that counting it is cheap.
+    row_bytes: of a row in memory; a column where rows differ. small should be a saved table, so that reading it is cheap.
     """
-    fits = small.count() * row_bytes <= BROADCAST_BYTES
+    size = small.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    fits = size <= BROADCAST_BYTES
     return big.join(F.broadcast(small) if fits else small.hint("shuffle_hash"), on, how)
 
 

@@ -97,7 +97,7 @@ def scan(docs: DataFrame, lookups: int = LOOKUPS, votes: int = VOTES) -> DataFra
     best = aligned.where(F.col("votes") >= votes).groupBy("rid", "template").agg(F.max(F.least(F.lit(1.0), F.col("votes") / F.col("n"))).alias("share"))
     found = common.saved(best.groupBy("rid").agg(F.collect_list(F.struct("template", "share")).alias("found")), "found")
 
-    base = common.sized_join(base_places(docs), found, "rid", "left", 200)
+    base = common.sized_join(base_places(docs), found, "rid", "left", 96 + 48 * F.size("found"))
     phrases = [F.array(*[F.lit(_spaced(p)) for p in t[2]]) for t in TEMPLATES]
     every = F.array(*phrases)
     names = F.array(*[F.lit(t[0]) for t in TEMPLATES])

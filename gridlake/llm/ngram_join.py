@@ -153,7 +153,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, per
     needed = stands.groupBy("node").agg(F.collect_list("t").alias("tiles")).join(classes.select("node", "rid"), "node")
     needed = common.saved(needed, "needed")
     return (
-        common.sized_join(texts, needed, "rid", "inner", 120)
+        common.sized_join(texts, needed, "rid", "inner", 96 + 48 * F.size("tiles"))
         .select("text", "node", "tiles")
         .mapInArrow(_members(n), "tile long, part int, member int, node long, set binary")
         .repartition("tile", "part")

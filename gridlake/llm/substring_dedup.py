@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,11 @@ def _flagged(cols: list[np.ndarray], passed: np.ndarray) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(pos[keep])], ["rid", "pos"])
 
 
+def _bytes() -> Column:
+    """Of a row with places in memory."""
+    return 96 + 8 * F.coalesce(F.size("places"), F.lit(0))
+
+
 def repeated_places(texts: DataFrame, window: int = 35, seed: int = 18) -> DataFrame:
     """rid and places (sorted starts) of the windows of texts (rid, text) that occur twice or more among them."""
     survivors, before = None, None
@@ -137,7 +142,7 @@ def repeated_places(texts: DataFrame, window: int = 35, seed: int = 18) -> DataF
         if survivors is not None:
             if survivors.isEmpty():
                 break
-            rows = common.sized_join(texts, survivors, "rid", "inner", 320)
+            rows = common.sized_join(texts, survivors, "rid", "inner", _bytes())
         columns = ["rid", "text"] + ["places"] * (survivors is not None)
         places = rows.select(*columns).mapInArrow(_places(length, window, before), PLACES)
         alive = places.repartition("k").sortWithinPartitions("k").mapInArrow(_repeated, "rid long, pos int")
@@ -189,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 18, carry: tup
     places = repeated_places(common.one_of_each(rows, groups).select("rid", "text"), window, seed)
     facts = places.join(groups.select("rid", F.lit(True).alias("copied")), "rid", "full")
     facts = common.saved(facts.select("rid", F.coalesce("copied", F.lit(False)).alias("copied"), "places"), "facts")
-    joined = common.sized_join(common.with_text_ids(docs, carry), facts, "rid", "left", 700)
+    joined = common.sized_join(common.with_text_ids(docs, carry), facts, "rid", "left", _bytes())
     given = joined.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "places", *carry)
     schema = T.StructType([*T.StructType.fromDDL(KEPT).fields, *[given.schema[c] for c in carry]])
     return given.mapInArrow(_cut(window, carry), schema)
