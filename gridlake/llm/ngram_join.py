@@ -32,7 +32,11 @@ TILE = 256
 COMMON, SHARE = 64, 1 / 500
 #: Shingles that occur so often in one slice of texts are counted over all.
 SLICE_COMMON, SLICE_SHARE = 4, 1 / 200
-KEYS = 4
+KEYS = 8
+#: Pairs that a task holds before it sums them up.
+PAIRS_HELD = 500_000
+#: A pair of sets of n elements must share one more prefix element for every STEP elements; prefixes grow by as many.
+STEP = 32
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -50,8 +54,10 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray
         yield lo, out
 
 
-def _band(n: int, threshold: float) -> int:
-    return math.floor(math.log(n) / -math.log(threshold)) if n else -1
+def _bands(n: int, threshold: float) -> tuple[int, int]:
+    """Two bands of sizes, set off by half a band: sizes within half the allowed ratio share one of them."""
+    at = math.log(max(n, 1)) / -math.log(threshold)
+    return 2 * math.floor(at), 2 * math.floor(at + 0.5) + 1
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -65,7 +71,7 @@ def _profiles(n: int, threshold: float):
             for lo, sets in shingle_sets(batch.column("text"), n):
                 size = np.array([len(s) for s in sets], np.int64)
                 node = np.array([_set_id(s) for s in sets], U)
-                keys = [[int(x) for x in mix(s[:KEYS] + U(_band(len(s), threshold) + 1)).view(np.int64)] for s in sets]
+                keys = [[int(x) for band in _bands(len(s), threshold) for x in mix(s[:KEYS] + U(band)).view(np.int64)] for s in sets]
                 flat = np.concatenate(sets) if sets else np.zeros(0, U)
                 value, count = np.unique(flat, return_counts=True)
                 often = count >= max(SLICE_COMMON, SLICE_SHARE * len(sets))
@@ -77,10 +83,11 @@ def _profiles(n: int, threshold: float):
                         pa.concat_arrays([pa.array(size), pa.nulls(rest, pa.int64())]),
                         pa.concat_arrays([pa.array(node.view(np.int64)), pa.nulls(rest, pa.int64())]),
                         pa.concat_arrays([pa.array(keys, pa.list_(pa.int64())), pa.nulls(rest, pa.list_(pa.int64()))]),
+                        pa.concat_arrays([pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(rest, pa.binary())]),
                         pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(value)]),
                         pa.array(np.r_[np.zeros(none, np.int64), count]),
                     ],
-                    ["rid", "n", "node", "keys", "shingle", "seen"],
+                    ["rid", "n", "node", "keys", "bits", "shingle", "seen"],
                 )
 
     return run
@@ -122,6 +129,22 @@ def linked(a: np.ndarray, b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray,
     return (100 + percent) * shared >= percent * total
 
 
+def _bounded(percent: int):
+    """Pairs whose bit counts allow the overlap they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b")]
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            bound = (total - np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)) // 2
+            good = pa.array((100 + percent) * bound >= percent * total)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile = pivot = pivot_bits = None
@@ -162,9 +185,25 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, per
     )
 
 
-def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """n - ceil(t n) + 1: what two sets that link must share an element of."""
-    return n - -(-percent * n // 100) + 1
+def least_shared(n):
+    """Elements that the prefixes of two sets that link share at least, n: size of the smaller."""
+    return 1 + n // STEP
+
+
+def prefix_size(n, percent: int):
+    """n - ceil(t n) + least_shared(n), at most n."""
+    return np.minimum(n, n - -(-percent * n // 100) + least_shared(n))
+
+
+def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix elements that sets of n and m elements (n <= m) share if they link.
+
+    Elements they share are in both prefixes or behind the prefix that ends first, so no more than the longer rest adds
+    to those that the prefixes share.
+    """
+    overlap = -(-percent * (n + m) // (100 + percent))
+    rest = np.maximum(n - prefix_size(n, percent), m - prefix_size(m, percent))
+    return np.maximum(least_shared(n), overlap - rest)
 
 
 def _prefixes(n: int, percent: int, often: np.ndarray):
@@ -204,40 +243,44 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(percent: int):
     """Pairs of unconnected classes in the runs of one key, rows sorted by k and n."""
 
-    def in_run(n, node, comp) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a, b = [], []
+    def in_run(n, node, comp) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        a, b, need = [], [], []
+        n = n.astype(np.int64)
         reach = np.searchsorted(n, n * 100 // percent, "right")
         for i in range(len(n) - 1):
             j = slice(i + 1, reach[i])
-            other = node[j][comp[j] != comp[i]]
-            if len(other):
-                a.append(np.full(len(other), node[i]))
-                b.append(other)
-        return a, b
-
-    def flush(cols) -> Iterator[pa.RecordBatch]:
+            apart = comp[j] != comp[i]
+            if apart.any():
+                other, m = node[j][apart], n[j][apart]
+                a.append(np.minimum(other, node[i]))
+                b.append(np.maximum(other, node[i]))
+                need.append(needed(np.full(len(m), n[i]), m, percent))
+        return a, b, need
+
+    def flush(cols, found) -> Iterator[pa.RecordBatch]:
         key, n, node, comp = cols
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         end = np.r_[start[1:], len(key)]
         mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-        a, b = [], []
         for lo, hi in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
-            x, y = in_run(n[lo:hi], node[lo:hi], comp[lo:hi])
-            a += x
-            b += y
-            if len(a) > 2000:
-                yield out(a, b)
-                a, b = [], []
-        if a:
-            yield out(a, b)
-
-    def out(a, b) -> pa.RecordBatch:
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            for gathered, more in zip(found, in_run(n[lo:hi], node[lo:hi], comp[lo:hi]), strict=True):
+                gathered += more
+            found[3] += sum(map(len, more))
+            if found[3] > PAIRS_HELD:
+                yield out(found)
+
+    def out(found) -> pa.RecordBatch:
+        """What has gathered, one row a pair with the number of keys that it met in."""
+        a, b, need = map(np.concatenate, found[:3])
+        found[:] = [], [], [], 0
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        met = np.diff(np.r_[new, len(a)])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], need[new], met)], ["a", "b", "need", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, found = None, [[], [], [], 0]
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if not len(cols[0]):
@@ -246,10 +289,12 @@ def _pairs(percent: int):
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             if last:
-                yield from flush([x[:last] for x in cols])
+                yield from flush([x[:last] for x in cols], found)
             held = [x[last:].copy() for x in cols]
         if held is not None:
-            yield from flush(held)
+            yield from flush(held, found)
+        if found[3]:
+            yield out(found)
 
     return run
 
@@ -266,12 +311,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     rows = common.with_text_ids(docs)
     groups = common.saved(common.copy_groups(rows), "copies")
     texts = common.one_of_each(rows, groups).select("rid", "text")
-    found = common.saved(texts.mapInArrow(_profiles(n, percent / 100), "rid long, n long, node long, keys array<long>, shingle long, seen long"), "profiles")
+    found = common.saved(texts.mapInArrow(_profiles(n, percent / 100), "rid long, n long, node long, keys array<long>, bits binary, shingle long, seen long"), "profiles")
     profiles = found.where("rid is not null")
-    classes = common.saved(profiles.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = common.saved(profiles.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
 
     keyed = classes.select("node", "n", F.explode("keys").alias("k"))
-    pivots = keyed.groupBy("k").agg(F.min(F.struct("n", "node")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    keyed = common.saved(keyed.join(sizes, "k"), "keyed")
+    central = keyed.groupBy("node").agg(F.sum("m").alias("weight"))
+    pivots = keyed.join(central, "node").groupBy("k").agg(F.max(F.struct("weight", "node")).alias("p"))
     votes = keyed.join(pivots.select("k", F.col("p.node").alias("a")), "k").where("a <> node").groupBy("node", "a").count()
     best = votes.groupBy("node").agg(F.max(F.struct("count", "a")).alias("v"))
     links = common.saved(verified(best.select(F.col("v.a").alias("a"), F.col("node").alias("b")), classes, texts, n, percent), "links")
@@ -283,7 +331,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     prefixes = common.sized_join(texts, classes.select("rid", "node"), "rid", "inner", 40).select("node", "text").mapInArrow(_prefixes(n, percent, often), "node long, n int, prefix binary")
     prefixes = prefixes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     postings = prefixes.mapInArrow(_postings, "k long, n int, node long, comp long")
-    rest = postings.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_pairs(percent), "a long, b long").distinct()
+    rest = postings.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_pairs(percent), "a long, b long, need long, met long")
+    rest = rest.groupBy("a", "b").agg(F.sum("met").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    rest = rest.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
     links = links.unionByName(verified(rest, classes, texts, n, percent))
     comps = common.components(links)
 
