@@ -263,7 +263,7 @@ def _pairs(percent: int):
         end = np.r_[start[1:], len(key)]
         mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
         for lo, hi in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
-            for gathered, more in zip(found, in_run(n[lo:hi], node[lo:hi], comp[lo:hi]), strict=True):
+            for gathered, more in zip(found[:3], in_run(n[lo:hi], node[lo:hi], comp[lo:hi]), strict=True):
                 gathered += more
             found[3] += sum(map(len, more))
             if found[3] > PAIRS_HELD:
