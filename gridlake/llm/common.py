@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only while its rows sum up to no more than this; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Whole texts are long rows: Arrow batches of fewer of them keep Python workers small. A user's own setting holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,7 +30,8 @@ TILE = 256
 #: A shingle is common if so many classes, and such a share of them, hold it. At most 1 / SHARE times the mean
 #: set size of shingles can be common, whatever the number of texts, so their list has a bounded size.
 COMMON, SHARE = 64, 1 / 500
-#: Shingles that occur so often in one slice of texts are counted over all.
+#: Shingles that occur so often in one slice of texts, of about so many shingles, are counted over all.
+SLICE_SHINGLES = 1_000_000
 SLICE_COMMON, SLICE_SHARE = 4, 1 / 200
 KEYS = 8
 #: Pairs that a task holds before it sums them up.
@@ -65,30 +66,37 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _profiles(n: int, threshold: float):
+    """A row for each text (rid, n, node, keys, bits) and for each shingle that many texts of one slice hold (shingle, seen)."""
+    kinds = {"rid": pa.int64(), "n": pa.int64(), "node": pa.int64(), "keys": pa.list_(pa.int64()), "bits": pa.binary(), "shingle": pa.int64(), "seen": pa.int64()}
+
+    def rows(**columns) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(size, kind) for c, kind in kinds.items()], list(kinds))
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        value, count = np.unique(np.concatenate(held), return_counts=True)
+        many = count >= max(SLICE_COMMON, SLICE_SHARE * len(held))
+        return rows(shingle=value[many].view(np.int64), seen=count[many])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             rids = batch.column("rid").to_numpy(zero_copy_only=False)
             for lo, sets in shingle_sets(batch.column("text"), n):
-                size = np.array([len(s) for s in sets], np.int64)
-                node = np.array([_set_id(s) for s in sets], U)
-                keys = [[int(x) for band in _bands(len(s), threshold) for x in mix(s[:KEYS] + U(band)).view(np.int64)] for s in sets]
-                flat = np.concatenate(sets) if sets else np.zeros(0, U)
-                value, count = np.unique(flat, return_counts=True)
-                often = count >= max(SLICE_COMMON, SLICE_SHARE * len(sets))
-                value, count = value[often].view(np.int64), count[often]
-                none, rest = len(sets), len(value)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([pa.array(rids[lo : lo + none]), pa.nulls(rest, pa.int64())]),
-                        pa.concat_arrays([pa.array(size), pa.nulls(rest, pa.int64())]),
-                        pa.concat_arrays([pa.array(node.view(np.int64)), pa.nulls(rest, pa.int64())]),
-                        pa.concat_arrays([pa.array(keys, pa.list_(pa.int64())), pa.nulls(rest, pa.list_(pa.int64()))]),
-                        pa.concat_arrays([pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(rest, pa.binary())]),
-                        pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(value)]),
-                        pa.array(np.r_[np.zeros(none, np.int64), count]),
-                    ],
-                    ["rid", "n", "node", "keys", "bits", "shingle", "seen"],
+                yield rows(
+                    rid=rids[lo : lo + len(sets)],
+                    n=[len(s) for s in sets],
+                    node=np.array([_set_id(s) for s in sets], U).view(np.int64),
+                    keys=[[int(x) for band in _bands(len(s), threshold) for x in mix(s[:KEYS] + U(band)).view(np.int64)] for s in sets],
+                    bits=[bitmap(s).tobytes() for s in sets],
                 )
+                held += sets
+                size += sum(map(len, sets))
+                if size >= SLICE_SHINGLES:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
 
     return run
 

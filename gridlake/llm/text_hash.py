@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Text bytes hashed at a time, so that a task needs some tens of MB whatever the batch holds. One text is never cut.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 WORD_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
 SPACES = np.zeros(256, bool)
