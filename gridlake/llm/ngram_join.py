@@ -36,6 +36,8 @@ SLICE_COMMON, SLICE_SHARE = 4, 1 / 200
 KEYS = 8
 #: Pairs that a task holds before it sums them up.
 PAIRS_HELD = 500_000
+#: Runs of more classes are compared by bitmaps in tiles of SIDE x SIDE; only pairs that pass leave the task.
+RUN, SIDE = 12, 256
 #: A pair of sets of n elements must share one more prefix element for every STEP elements; prefixes grow by as many.
 STEP = 32
 
@@ -248,8 +250,61 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+PAIRS = "a long, b long, need long, met long, k long, n int, node long, comp long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """The first columns of rows sorted by the first one, in pieces that do not cut its runs."""
+    held = None
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if not len(cols[0]):
+            continue
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if last:
+            yield [x[:last] for x in cols]
+        held = [x[last:].copy() for x in cols]
+    if held is not None:
+        yield held
+
+
+def _tiles(percent: int):
+    """Pairs of unconnected classes in large runs (k, n, comp, node, bits) whose bit counts allow the overlap they need.
+
+    A tile of the run's classes by the next larger ones is compared at once.
+    """
+
+    def tiles(n, comp, node, bits) -> Iterator[pa.RecordBatch]:
+        reach = np.searchsorted(n, n * 100 // percent, "right")
+        for lo in range(0, len(n), SIDE):
+            rows = np.arange(lo, min(lo + SIDE, len(n)))
+            for at in range(lo, int(reach[rows[-1]]), SIDE):
+                cols = np.arange(at, min(at + SIDE, len(n)))
+                total = n[rows][:, None] + n[cols]
+                differ = np.zeros(total.shape, np.int64)
+                for word in range(bits.shape[1]):
+                    differ += np.bitwise_count(bits[rows, word][:, None] ^ bits[cols, word])
+                good = ((100 + percent) * ((total - differ) // 2) >= percent * total) & (cols < reach[rows][:, None]) & (cols > rows[:, None])
+                i, j = np.nonzero(good & (comp[rows][:, None] != comp[cols]))
+                if len(i):
+                    a, b = node[rows[i]], node[cols[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, comp, node, bits in _runs(batches, 5):
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+                words = np.frombuffer(b"".join(bits[lo:hi]), U).reshape(hi - lo, -1)
+                yield from tiles(n[lo:hi].astype(np.int64), comp[lo:hi], node[lo:hi], words)
+
+    return run
+
+
 def _pairs(percent: int):
-    """Pairs of unconnected classes in the runs of one key, rows sorted by k and n."""
+    """Pairs of unconnected classes in the runs of one key (k, n, node, comp); large runs are passed on as they are."""
+    kinds = {c: pa.int32() if c == "n" else pa.int64() for c in ("a", "b", "need", "met", "k", "n", "node", "comp")}
 
     def in_run(n, node, comp) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         a, b, need = [], [], []
@@ -270,13 +325,22 @@ def _pairs(percent: int):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         end = np.r_[start[1:], len(key)]
         mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        large = mixed & (end - start > RUN)
+        if large.any():
+            here = np.repeat(large, end - start)
+            yield rows(k=key[here], n=n[here], node=node[here], comp=comp[here])
+        mixed &= ~large
         for lo, hi in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
             for gathered, more in zip(found[:3], in_run(n[lo:hi], node[lo:hi], comp[lo:hi]), strict=True):
                 gathered += more
-            found[3] += sum(map(len, more))
+                found[3] += sum(map(len, more))
             if found[3] > PAIRS_HELD:
                 yield out(found)
 
+    def rows(**columns) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(size, kind) for c, kind in kinds.items()], list(kinds))
+
     def out(found) -> pa.RecordBatch:
         """What has gathered, one row a pair with the number of keys that it met in."""
         a, b, need = map(np.concatenate, found[:3])
@@ -284,23 +348,12 @@ def _pairs(percent: int):
         order = np.lexsort((b, a))
         a, b, need = a[order], b[order], need[order]
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        met = np.diff(np.r_[new, len(a)])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], need[new], met)], ["a", "b", "need", "met"])
+        return rows(a=a[new], b=b[new], need=need[new], met=np.diff(np.r_[new, len(a)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found = None, [[], [], [], 0]
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if not len(cols[0]):
-                continue
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if last:
-                yield from flush([x[:last] for x in cols], found)
-            held = [x[last:].copy() for x in cols]
-        if held is not None:
-            yield from flush(held, found)
+        found = [[], [], [], 0]
+        for cols in _runs(batches, 4):
+            yield from flush(cols, found)
         if found[3]:
             yield out(found)
 
@@ -339,10 +392,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     prefixes = common.sized_join(texts, classes.select("rid", "node"), "rid", "inner", 40).select("node", "text").mapInArrow(_prefixes(n, percent, often), "node long, n int, prefix binary")
     prefixes = prefixes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     postings = prefixes.mapInArrow(_postings, "k long, n int, node long, comp long")
-    rest = postings.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_pairs(percent), "a long, b long, need long, met long")
-    rest = rest.groupBy("a", "b").agg(F.sum("met").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
+    met = common.saved(postings.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_pairs(percent), PAIRS), "met")
+    few = met.where("k is null").groupBy("a", "b").agg(F.sum("met").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    rest = rest.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
+    few = few.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
+    many = met.where("k is not null").select("k", "n", "comp", "node").join(classes.select("node", "bits"), "node").select("k", "n", "comp", "node", "bits")
+    many = many.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_tiles(percent), "a long, b long")
+    rest = few.unionByName(many).distinct()
     links = links.unionByName(verified(rest, classes, texts, n, percent))
     comps = common.components(links)
 
