@@ -36,7 +36,7 @@ SLICE_COMMON, SLICE_SHARE = 4, 1 / 200
 KEYS = 8
 #: Pairs that a task holds before it sums them up.
 PAIRS_HELD = 500_000
-#: Runs of more classes are compared by bitmaps in tiles of SIDE x SIDE; only pairs that pass leave the task.
+#: Runs of more classes are compared by bitmaps, SIDE x SIDE at once; only pairs that pass leave the task.
 RUN, SIDE = 12, 256
 #: A pair of sets of n elements must share one more prefix element for every STEP elements; prefixes grow by as many.
 STEP = 32
@@ -271,9 +271,9 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.n
 
 
 def _tiles(percent: int):
-    """Pairs of unconnected classes in large runs (k, n, comp, node, bits) whose bit counts allow the overlap they need.
+    """Pairs of unconnected classes in tiles (k, n, comp, node, bits) whose bit counts allow the overlap they need.
 
-    A tile of the run's classes by the next larger ones is compared at once.
+    SIDE of a tile's classes by SIDE of the next larger ones are compared at once.
     """
 
     def tiles(n, comp, node, bits) -> Iterator[pa.RecordBatch]:
@@ -303,7 +303,10 @@ def _tiles(percent: int):
 
 
 def _pairs(percent: int):
-    """Pairs of unconnected classes in the runs of one key (k, n, node, comp); large runs are passed on as they are."""
+    """Pairs of unconnected classes in the runs of one key (k, n, node, comp); members of large runs are passed on.
+
+    A large run becomes part of the tile of its smallest class (k), so that classes that meet in many runs meet in few tiles.
+    """
     kinds = {c: pa.int32() if c == "n" else pa.int64() for c in ("a", "b", "need", "met", "k", "n", "node", "comp")}
 
     def in_run(n, node, comp) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
@@ -328,7 +331,8 @@ def _pairs(percent: int):
         large = mixed & (end - start > RUN)
         if large.any():
             here = np.repeat(large, end - start)
-            yield rows(k=key[here], n=n[here], node=node[here], comp=comp[here])
+            tile = np.repeat(np.minimum.reduceat(node, start), end - start)
+            yield rows(k=tile[here], n=n[here], node=node[here], comp=comp[here])
         mixed &= ~large
         for lo, hi in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
             for gathered, more in zip(found[:3], in_run(n[lo:hi], node[lo:hi], comp[lo:hi]), strict=True):
@@ -396,7 +400,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     few = met.where("k is null").groupBy("a", "b").agg(F.sum("met").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     few = few.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
-    many = met.where("k is not null").select("k", "n", "comp", "node").join(classes.select("node", "bits"), "node").select("k", "n", "comp", "node", "bits")
+    many = met.where("k is not null").select("k", "n", "comp", "node").distinct().join(classes.select("node", "bits"), "node").select("k", "n", "comp", "node", "bits")
     many = many.repartition("k").sortWithinPartitions("k", "n").mapInArrow(_tiles(percent), "a long, b long")
     rest = few.unionByName(many).distinct()
     links = links.unionByName(verified(rest, classes, texts, n, percent))
