@@ -10,8 +10,10 @@ laid out in sequences of powers of two. Every partition packs alone: no shuffle,
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,36 +22,77 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words whose ids a worker remembers before it starts afresh.
-CACHE = 600_000
+#: Words whose ids a worker remembers in each of two generations; the older one is dropped when the newer is full.
+CACHE = 400_000
+#: Texts encoded together.
+TOGETHER = 500
+#: Marks that the tokenizer splits from a word they end.
+MARKS = ".,!?;:"
 _ENCODERS: dict[str, tuple] = {}
 
 
-def word_encoder(path: str):
+class WordEncoder:
     """text -> ids as little-endian unsigned 32-bit, as the tokenizer's file at path gives them.
 
-    The tokenizer drops white space and never merges across it, so words are encoded once each and remembered.
+    The tokenizer drops white space and never merges across it, lower-cases, and splits marks from words, so words
+    without closing marks are encoded once each and remembered.
     """
-    if path not in _ENCODERS:
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[path] = tokenizer, {}
-    tokenizer, known = _ENCODERS[path]
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker a core already
+        from tokenizers import Tokenizer
 
-    def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = list(set(words).difference(known))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) + len(words) > CACHE:
+            self.words, self.older = {}, self.words
+        if len(self.bare) > CACHE:
+            self.bare = {}
+        split, new = [], set()
+        for word in words:
+            found = self.older.get(word)
+            if found is not None:
+                self.words[word] = found
+                continue
+            core = word.rstrip(MARKS)
+            if not core[-1:].isalnum():
+                core = word
+            tail = word[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            split.append((word, core, tail))
+            new.update((core, tail))
+        new.difference_update(self.bare)
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
-        return b"".join(map(known.__getitem__, words))
+            listed = list(new)
+            self.bare.update(zip(listed, self._ids(listed), strict=True))
+        for word, core, tail in split:
+            self.words[word] = self.bare[core] + self.bare[tail]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """One call for many texts: the tokenizer is slow to start."""
+        listed = [text.replace("\n", " ").split(" ") for text in texts]
+        every = set().union(*listed)
+        new = every.difference(self.words)
+        if new:
+            self.learn(new)
+            if missing := every.difference(self.words):  # a new generation began
+                self.learn(missing)
+        return [b"".join(map(self.words.__getitem__, words)) for words in listed]
+
 
-    return encode
+def word_encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def plan(length: int, capacity: int, classes: int, waste: float) -> list[tuple[int, int]]:
@@ -138,10 +181,12 @@ def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float):
         encode, end = word_encoder(path), end_id.to_bytes(4, "little")
         packer = Packer(capacity, classes, waste, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                packer.add(doc, encode(text.as_py() or "") + end)
-                if len(packer.rows) >= 4000:
-                    yield from rows(packer)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
+                    packer.add(doc, ids + end)
+                yield from rows(packer)
         packer.finish()
         yield from rows(packer)
 
