@@ -90,7 +90,7 @@ def _profiles(n: int, threshold: float):
                     n=[len(s) for s in sets],
                     node=np.array([_set_id(s) for s in sets], U).view(np.int64),
                     keys=[[int(x) for band in _bands(len(s), threshold) for x in mix(s[:KEYS] + U(band)).view(np.int64)] for s in sets],
-                    bits=[bitmap(s).tobytes() for s in sets],
+                    bits=[bitmap(s, width(len(s))).tobytes() for s in sets],
                 )
                 held += sets
                 size += sum(map(len, sets))
@@ -121,18 +121,32 @@ def _members(n: int):
     return run
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(s >> U(64 - 11)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
+def width(n: int) -> int:
+    """Bits of the signature of n elements; few, and each wider one folds into the narrower ones."""
+    return BITS if n < BITS // 2 else 4 * BITS if n < 2 * BITS else 16 * BITS
 
 
-def linked(a: np.ndarray, b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, percent: int) -> bool:
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Each element flips one bit."""
+    at = (s >> U(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(U)
+
+
+def folded(signature: bytes, bits: int) -> np.ndarray:
+    """The signature of the same set at fewer bits: neighbouring bits are added up without carry."""
+    if len(signature) * 8 == bits:
+        return np.frombuffer(signature, U)
+    own = np.unpackbits(np.frombuffer(signature, np.uint8)).reshape(bits, -1)
+    return np.packbits(np.bitwise_xor.reduce(own, axis=1)).view(U)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |a & b| >= percent * |a | b|, the exact count only where size and bit counts allow it."""
-    total = len(a) + len(b)
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+    total, least = len(a) + len(b), min(len(a), len(b))
+    if 100 * least < percent * max(len(a), len(b)):
         return False
-    bound = (total - int(np.bitwise_count(bits_a ^ bits_b).sum())) // 2  # each differing bit is an unshared element
+    bits = width(least)
+    bound = (total - int(np.bitwise_count(bitmap(a, bits) ^ bitmap(b, bits)).sum())) // 2  # each differing bit is an unshared element
     if (100 + percent) * bound < percent * total:
         return False
     shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -146,9 +160,11 @@ def _bounded(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b")]
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            bound = (total - np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)) // 2
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            total, differ = n + m, np.zeros(len(n), np.int64)
+            for i, (x, y, least) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), np.minimum(n, m).tolist(), strict=True)):
+                differ[i] = np.bitwise_count(folded(x, width(least)) ^ folded(y, width(least))).sum()
+            bound = (total - differ) // 2
             good = pa.array((100 + percent) * bound >= percent * total)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
 
@@ -157,7 +173,7 @@ def _bounded(percent: int):
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = pivot = pivot_bits = None
+        tile = pivot = None
         for batch in batches:
             a, b = [], []
             sets = batch.column("set")
@@ -165,8 +181,7 @@ def _verify(percent: int):
                 s = np.frombuffer(sets[i].as_buffer(), U)
                 if not member:
                     tile, pivot = (t, part), s.copy()
-                    pivot_bits = bitmap(pivot)
-                elif tile == (t, part) and linked(pivot, s, pivot_bits, bitmap(s), percent):
+                elif tile == (t, part) and linked(pivot, s, percent):
                     a.append(t)
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -280,12 +295,15 @@ def _tiles(percent: int):
         reach = np.searchsorted(n, n * 100 // percent, "right")
         for lo in range(0, len(n), SIDE):
             rows = np.arange(lo, min(lo + SIDE, len(n)))
+            size = width(int(n[lo]))
+            left = np.stack([folded(bits[i], size) for i in rows])
             for at in range(lo, int(reach[rows[-1]]), SIDE):
                 cols = np.arange(at, min(at + SIDE, len(n)))
                 total = n[rows][:, None] + n[cols]
                 differ = np.zeros(total.shape, np.int64)
-                for word in range(bits.shape[1]):
-                    differ += np.bitwise_count(bits[rows, word][:, None] ^ bits[cols, word])
+                right = np.stack([folded(bits[i], size) for i in cols])
+                for word in range(size // 64):
+                    differ += np.bitwise_count(left[:, word][:, None] ^ right[:, word])
                 good = ((100 + percent) * ((total - differ) // 2) >= percent * total) & (cols < reach[rows][:, None]) & (cols > rows[:, None])
                 i, j = np.nonzero(good & (comp[rows][:, None] != comp[cols]))
                 if len(i):
@@ -296,8 +314,7 @@ def _tiles(percent: int):
         for key, n, comp, node, bits in _runs(batches, 5):
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
-                words = np.frombuffer(b"".join(bits[lo:hi]), U).reshape(hi - lo, -1)
-                yield from tiles(n[lo:hi].astype(np.int64), comp[lo:hi], node[lo:hi], words)
+                yield from tiles(n[lo:hi].astype(np.int64), comp[lo:hi], node[lo:hi], bits[lo:hi])
 
     return run
 

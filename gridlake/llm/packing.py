@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words whose ids a worker remembers in each of two generations; the older one is dropped when the newer is full.
-CACHE = 400_000
+#: Words whose ids a worker remembers in each of two generations (the older one is dropped when the newer is full), and
+#: words without closing marks.
+CACHE = 600_000
+BARE_CACHE = 1_500_000
 #: Texts encoded together.
 TOGETHER = 500
 #: Marks that the tokenizer splits from a word they end.
@@ -54,7 +56,7 @@ class WordEncoder:
     def learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > CACHE:
             self.words, self.older = {}, self.words
-        if len(self.bare) > CACHE:
+        if len(self.bare) > BARE_CACHE:
             self.bare = {}
         split, new = [], set()
         for word in words:
