@@ -293,9 +293,13 @@ def _tiles(percent: int):
 
     def tiles(n, comp, node, bits) -> Iterator[pa.RecordBatch]:
         reach = np.searchsorted(n, n * 100 // percent, "right")
-        for lo in range(0, len(n), SIDE):
-            rows = np.arange(lo, min(lo + SIDE, len(n)))
-            size = width(int(n[lo]))
+        lo = hi = 0
+        while hi < len(n):
+            lo, size = hi, width(int(n[hi]))
+            hi = lo + 1
+            while hi < min(lo + SIDE, len(n)) and width(int(n[hi])) == size:
+                hi += 1
+            rows = np.arange(lo, hi)
             left = np.stack([folded(bits[i], size) for i in rows])
             for at in range(lo, int(reach[rows[-1]]), SIDE):
                 cols = np.arange(at, min(at + SIDE, len(n)))
