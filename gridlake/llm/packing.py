@@ -24,8 +24,8 @@ from . import common
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Words whose ids a worker remembers in each of two generations (the older one is dropped when the newer is full), and
 #: words without closing marks.
-CACHE = 600_000
-BARE_CACHE = 1_500_000
+CACHE = 300_000
+BARE_CACHE = 600_000
 #: Texts encoded together.
 TOGETHER = 500
 #: Marks that the tokenizer splits from a word they end.

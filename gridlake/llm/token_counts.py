@@ -18,7 +18,7 @@ from . import common
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 600_000
+CACHE = 300_000
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LOADED: dict[str, tuple] = {}
 

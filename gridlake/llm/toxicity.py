@@ -21,7 +21,7 @@ from .text_hash import U, mix, slices, word_bounds, word_hashes
 
 BITS = 18
 #: The classifier is fitted on at most about so many labelled documents of each class, taken by a hash of doc_id.
-TRAIN_PER_CLASS = 5000
+TRAIN_PER_CLASS = 3000
 THRESHOLD = 0.3
 STEPS = 80
 #: Lengths in bytes of the word beginnings that are features too.
