@@ -30,7 +30,6 @@ BARE_CACHE = 600_000
 TOGETHER = 500
 #: Marks that the tokenizer splits from a word they end.
 MARKS = ".,!?;:"
-_ENCODERS: dict[str, tuple] = {}
 
 
 class WordEncoder:
@@ -91,12 +90,6 @@ class WordEncoder:
         return [b"".join(map(self.words.__getitem__, words)) for words in listed]
 
 
-def word_encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def plan(length: int, capacity: int, classes: int, waste: float) -> list[tuple[int, int]]:
     """(piece length, class) of a rest of length tokens, at most capacity; class 0 is next-fit."""
     out = []
@@ -180,7 +173,8 @@ def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float):
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*done[at : at + 4000], strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(path), end_id.to_bytes(4, "little")
+        # Made for each task: what it remembers goes with it, so idle workers stay small.
+        encode, end = WordEncoder(path), end_id.to_bytes(4, "little")
         packer = Packer(capacity, classes, waste, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
