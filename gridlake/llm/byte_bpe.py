@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Chunks whose ids a worker remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 900_000
 #: Where a space is not single before a visible character, the text is split by the pattern as a whole.
 ODD_SPACE = re.compile(r" (?=\s|$)")
 _LOADED: dict[tuple[str, str], BytePairs] = {}
