@@ -15,28 +15,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .word_ids import gather, parts
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words whose ids a worker remembers in each of two generations (the older one is dropped when the newer is full), and
-#: words without closing marks.
-CACHE = 300_000
-BARE_CACHE = 600_000
-#: Texts encoded together.
-TOGETHER = 500
-#: Marks that the tokenizer splits from a word they end.
-MARKS = ".,!?;:"
+#: Words whose ids a task remembers before it starts afresh.
+CACHE = 600_000
+#: Words of letters that are encoded as one text.
+TOGETHER = 2000
+#: Marks after a Latin letter or digit, which stays one when normalised: the tokenizer splits them there.
+CLOSING = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,!?;:])"
 
 
 class WordEncoder:
-    """text -> ids as little-endian unsigned 32-bit, as the tokenizer's file at path gives them.
+    """Ids of words and texts as the tokenizer's file at path gives them.
 
     The tokenizer drops white space and never merges across it, lower-cases, and splits marks from words, so words
-    without closing marks are encoded once each and remembered.
+    and marks are encoded once each and remembered. Many words of letters are encoded as one text, whose ids are cut
+    after each token that ends a word; where there are not as many ends as words, one by one.
     """
 
     def __init__(self, path: str):
@@ -45,49 +46,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE:
-            self.words, self.older = {}, self.words
-        if len(self.bare) > BARE_CACHE:
-            self.bare = {}
-        split, new = [], set()
-        for word in words:
-            found = self.older.get(word)
-            if found is not None:
-                self.words[word] = found
+    def _letter_ids(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part) or ends[-1] != 4 * len(ids):
+                out += self._ids(part)
                 continue
-            core = word.rstrip(MARKS)
-            if not core[-1:].isalnum():
-                core = word
-            tail = word[len(core) :]
-            if core.isascii():
-                core = core.lower()
-            split.append((word, core, tail))
-            new.update((core, tail))
-        new.difference_update(self.bare)
-        if new:
-            listed = list(new)
-            self.bare.update(zip(listed, self._ids(listed), strict=True))
-        for word, core, tail in split:
-            self.words[word] = self.bare[core] + self.bare[tail]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """One call for many texts: the tokenizer is slow to start."""
-        listed = [text.replace("\n", " ").split(" ") for text in texts]
-        every = set().union(*listed)
-        new = every.difference(self.words)
-        if new:
-            self.learn(new)
-            if missing := every.difference(self.words):  # a new generation began
-                self.learn(missing)
-        return [b"".join(map(self.words.__getitem__, words)) for words in listed]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        new = [word for word in words if word not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, words
+        letters = [word for word in new if word.isalpha()]
+        others = [word for word in new if not word.isalpha()]
+        self.known.update(zip(letters, self._letter_ids(letters), strict=True))
+        if others:
+            self.known.update(zip(others, self._ids(others), strict=True))
+        return list(map(self.known.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts."""
+        plain = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        spaced = pc.replace_substring_regex(pc.replace_substring(plain, "\n", " "), CLOSING, r"\1 \2")
+        return gather(spaced, self.of_words)
 
 
 def plan(length: int, capacity: int, classes: int, waste: float) -> list[tuple[int, int]]:
@@ -177,11 +175,11 @@ def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float):
         encode, end = WordEncoder(path), end_id.to_bytes(4, "little")
         packer = Packer(capacity, classes, waste, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                texts = [text or "" for text in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    packer.add(doc, ids + end)
+            for at, texts in parts(batch.column("text")):
+                ids, offsets = encode(texts)
+                docs = batch.column("doc_id").slice(at, len(texts)).to_pylist()
+                for doc, a, b in zip(docs, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    packer.add(doc, ids[a:b].tobytes() + end)
                 yield from rows(packer)
         packer.finish()
         yield from rows(packer)
