@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
+from .word_ids import gather, parts
 
-#: Chunks whose ids a worker remembers before it starts afresh.
+#: Chunks and matches whose ids a worker remembers before it starts afresh.
 CACHE = 900_000
 #: Where a space is not single before a visible character, the text is split by the pattern as a whole.
 ODD_SPACE = re.compile(r" (?=\s|$)")
@@ -82,31 +83,48 @@ class PrefixTable:
         self.pairs, self.data, self.last = pairs, b"", [-1]
         self.append(data)
 
-    def _entry(self, end: int) -> int:
-        ranks, data, last = self.pairs.ranks, self.data, self.last
-        for start in range(end - 1, max(-1, end - self.pairs.longest - 1), -1):
-            token = ranks.get(data[start:end])
-            if token is not None and (start == 0 or self.pairs.may_follow(last[start], token)):
-                return token
-        raise ValueError("bytes outside the vocabulary")
-
     def append(self, more: bytes) -> None:
         have = len(self.data)
-        self.data += more
-        for end in range(have + 1, len(self.data) + 1):
-            self.last.append(self._entry(end))
+        self.data = data = self.data + more
+        last, longest, pairs = self.last, self.pairs.longest, self.pairs
+        token_of, known = pairs.ranks.get, pairs.follows.get
+        for end in range(have + 1, len(data) + 1):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):
+                token = token_of(data[start:end])
+                if token is None:
+                    continue
+                if start == 0:
+                    break
+                fits = known(last[start] << 32 | token)
+                if pairs.may_follow(last[start], token) if fits is None else fits:
+                    break
+            else:
+                raise ValueError("bytes outside the vocabulary")
+            last.append(token)
+
+    def restart(self, data: bytes) -> None:
+        """Go on with other bytes; the entries of what they begin with alike stay."""
+        old, same = self.data, 0
+        most = min(len(old), len(data))
+        while same < most and old[same] == data[same]:
+            same += 1
+        self.data = old[:same]
+        del self.last[same + 1 :]
+        self.append(data[same:])
 
     def replace(self, at: int, length: int, new: bytes) -> int:
         """Put new in place of length bytes; returns how many entries were made anew."""
         old = self.last[at + length + 1 :]
         self.data = self.data[:at] + new + self.data[at + length :]
         self.last = self.last[: at + 1]
-        after, same = at + len(new), 0
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._entry(end))
+        after, same, whole = at + len(new), 0, self.data
+        self.data = whole[:at]
+        for end in range(at + 1, len(whole) + 1):
+            self.append(whole[end - 1 : end])
             if end > after:
                 same = same + 1 if self.last[end] == old[end - after - 1] else 0
                 if same >= self.pairs.longest:
+                    self.data = whole
                     self.last += old[end - after :]
                     return end - at
         return len(self.data) - at
@@ -130,26 +148,57 @@ def load(path: str, pattern: str) -> tuple:
     return _LOADED[path, pattern]
 
 
-def encode_text(text: str, loaded: tuple) -> bytes:
-    """The ids of text, little-endian unsigned 32-bit.
+def _learn(matches: set[str], pairs: BytePairs) -> dict[str, bytes]:
+    """The ids of matches. In sorted order neighbours begin alike, and the entries of shared prefixes stay."""
+    table, out = PrefixTable(pairs), {}
+    for match in sorted(matches):
+        data = match.encode()
+        whole = pairs.ranks.get(data)
+        if whole is None:
+            table.restart(data)
+        out[match] = np.array(table.ids() if whole is None else [whole], "<u4").tobytes()
+    return out
 
-    A single space before a visible character always begins a match of the pattern, so texts are cut there and
-    the chunks, which recur, are remembered.
-    """
+
+def encode_chunks(chunks: list[str], loaded: tuple) -> list[bytes]:
+    """The ids of each chunk, little-endian unsigned 32-bit; remembered, as chunks recur."""
     pairs, pattern, known = loaded
-    if ODD_SPACE.search(text):
-        chunks = pattern.findall(text)
-    else:
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + x for x in rest]]
-    new = set(chunks).difference(known)
+    new = [chunk for chunk in chunks if chunk not in known]
     if len(known) + len(new) > CACHE:
         known.clear()
-        new = set(chunks)
-    for chunk in new:
-        ids = [i for match in pattern.findall(chunk) for i in PrefixTable(pairs, match.encode()).ids()]
-        known[chunk] = np.array(ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, chunks))
+        new = chunks
+    if new:
+        matched = [pattern.findall(chunk) for chunk in new]
+        known.update(_learn({match for matches in matched for match in matches if match not in known}, pairs))
+        known.update(zip(new, [b"".join(map(known.__getitem__, matches)) for matches in matched], strict=True))
+    return list(map(known.__getitem__, chunks))
+
+
+def encode_text(text: str, loaded: tuple) -> bytes:
+    """The ids of one text."""
+    return b"".join(encode_chunks(list(loaded[1].findall(text)), loaded))
+
+
+def encode_texts(texts: pa.Array, loaded: tuple) -> list[bytes]:
+    """The ids of each of texts (without nulls).
+
+    A single space before a visible character always begins a match of the pattern, so texts are cut there; texts
+    with other spaces are split by the pattern as a whole.
+    """
+    odd = [i for i, text in enumerate(texts.to_pylist()) if ODD_SPACE.search(text)]
+    plain = np.ones(len(texts), bool)
+    plain[odd] = False
+    ids, offsets = gather(
+        texts.filter(pa.array(plain)),
+        lambda words: encode_chunks([" " + word for word in words], loaded),
+        lambda words: encode_chunks(words, loaded),
+    )
+    out = [b""] * len(texts)
+    for i, a, b in zip(np.flatnonzero(plain).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out[i] = ids[a:b].tobytes()
+    for i in odd:
+        out[i] = encode_text(texts[i].as_py(), loaded)
+    return out
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -162,10 +211,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = load(ranks, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [encode_text(text.as_py() or "", loaded) for text in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at, texts in parts(batch.column("text")):
+                docs = batch.column("doc_id").slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([docs, pa.array(encode_texts(texts, loaded), pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
