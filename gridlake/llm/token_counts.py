@@ -8,6 +8,7 @@ that no single piece covers may be unknown, at ten below the lowest score; it co
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -15,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
+from .word_ids import parts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 500_000
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LOADED: dict[str, tuple] = {}
 
@@ -66,23 +68,59 @@ class Counter:
             score[end], count[end] = top, pieces
         return score[n], count[n]
 
-    def text(self, text: str) -> tuple[float, int]:
+    def learn(self, chunks: list[str]) -> None:
+        """In sorted order neighbours begin alike, and the entries of shared prefixes stay."""
+        before, score, count, single, worst = "", [0.0], [0], self.single, -math.inf
+        for chunk in sorted(chunks):
+            same, most = 0, min(len(before), len(chunk))
+            while same < most and before[same] == chunk[same]:
+                same += 1
+            before, fresh = chunk, len(chunk) - same
+            score[same + 1 :] = [worst] * fresh
+            count[same + 1 :] = [0] * fresh
+            odd = [] if single.issuperset(chunk) else [i for i in range(len(chunk) - 1, same - 1, -1) if chunk[i] not in single]
+
+            def unknown(at: int) -> None:
+                total = score[at] + self.unknown
+                if total > score[at + 1]:
+                    score[at + 1], count[at + 1] = total, count[at] + len(chunk[at].encode())
+
+            for last, (length, value) in self.automaton.iter(chunk):  # at each place the longest match comes first
+                if last >= same:
+                    while odd and odd[-1] < last:
+                        unknown(odd.pop())
+                    start = last + 1 - length
+                    total = score[start] + value
+                    if total > score[last + 1]:
+                        score[last + 1], count[last + 1] = total, count[start] + 1
+            while odd:
+                unknown(odd.pop())
+            self.known[chunk] = score[-1], count[-1]
+
+    def chunks(self, text: str) -> list[str]:
         if not text:
-            return 0.0, 0
+            return []
         marked = MARK + text.replace(" ", MARK)
-        chunks = [marked] if self.crossing else CHUNK.findall(marked)
-        known = self.known
-        new = set(chunks).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set(chunks)
-        for chunk in new:
-            known[chunk] = self.best(chunk)
-        score = pieces = 0
-        for s, c in map(known.__getitem__, chunks):
-            score += s
-            pieces += c
-        return float(score), pieces
+        return [marked] if self.crossing else CHUNK.findall(marked)
+
+    def texts(self, texts: list[str]) -> list[tuple[float, int]]:
+        cut = [self.chunks(text) for text in texts]
+        every = set().union(*cut)
+        new = [chunk for chunk in every if chunk not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, list(every)
+        self.learn(new)
+        out = []
+        for chunks in cut:
+            score = pieces = 0
+            for s, c in map(self.known.__getitem__, chunks):
+                score += s
+                pieces += c
+            out.append((float(score), pieces))
+        return out
+
+    def text(self, text: str) -> tuple[float, int]:
+        return self.texts([text])[0]
 
 
 def count(docs: DataFrame, model: str) -> DataFrame:
@@ -97,7 +135,7 @@ def count(docs: DataFrame, model: str) -> DataFrame:
         if model not in _LOADED:
             _LOADED[model] = Counter(vocabulary(model))
         for batch in batches:
-            found = [_LOADED[model].text(text.as_py() or "") for text in batch.column("text")]
+            found = [x for _, texts in parts(batch.column("text")) for x in _LOADED[model].texts(texts.to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([c for _, c in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())],
                 ["doc_id", "n_tokens", "score"],
