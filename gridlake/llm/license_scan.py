@@ -84,7 +84,7 @@ def scan(docs: DataFrame, lookups: int = LOOKUPS, votes: int = VOTES) -> DataFra
     empty texts have no words; null and repeated doc_ids are rows like others; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(postings(), "template int, place int, word string"))
+    table = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_sql_values(postings())} AS t(template, place, word)"))
     vocabulary = sorted({w for _, _, w in postings()})
     words = docs.select(common.text_id(F.col("text")).alias("rid"), F.split(F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), SEPARATORS, " ")), " ").alias("w"))
     hits = words.select("rid", F.posexplode("w").alias("pos", "word")).where(F.col("word").isin(vocabulary))
