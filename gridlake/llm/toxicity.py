@@ -54,6 +54,12 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray):
     return np.stack(features, axis=1).ravel(), np.repeat(np.cumsum(new) - 1, len(features)), starts[begin], ends[last] if len(starts) else ends, row[begin]
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; values are overwritten."""
+    values.sort()
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -70,14 +76,22 @@ class Model:
 def fit(feature, sentence, doc_of_sentence, labels, weights, steps: int = STEPS, least_docs: int = 5, decay: float = 2e-4) -> Model:
     """Noisy-or maximum likelihood by Adam on the whole sample; words of fewer than least_docs documents are left out."""
     size, n_sentences, n_docs = 1 << BITS, len(doc_of_sentence), len(labels)
-    doc = doc_of_sentence[sentence]
-    seen = np.unique(doc.astype(np.int64) << BITS | feature)
-    usable = np.bincount(seen & (size - 1), minlength=size) >= least_docs
+    pairs = doc_of_sentence[sentence].astype(np.int64)
+    pairs <<= BITS
+    pairs |= feature
+    usable = np.bincount(_distinct(pairs) & (size - 1), minlength=size) >= least_docs
     keep = usable[feature]
-    feature, sentence = feature[keep], sentence[keep]
-    pairs = np.unique(sentence.astype(np.int64) << BITS | feature)
+    pairs = sentence[keep].astype(np.int64)
+    pairs <<= BITS
+    pairs |= feature[keep]
+    del keep
+    pairs = _distinct(pairs)
     feature, sentence = pairs & (size - 1), pairs >> BITS
-    ids, feature = np.unique(feature, return_inverse=True)
+    del pairs
+    ids = np.flatnonzero(np.bincount(feature, minlength=size))
+    number = np.zeros(size, np.int64)
+    number[ids] = np.arange(len(ids))
+    feature = number[feature]
     w, b = np.zeros(len(ids)), -5.0
     m, v, mb, vb = np.zeros(len(ids)), np.zeros(len(ids)), 0.0, 0.0
     total = weights.sum()
@@ -116,18 +130,22 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, places, docs, labels, weights, base = [], [], [], [], [], 0
     for batch in batches:
         for label, weight, w, p in zip(*(batch.column(c).to_pylist() for c in ("label", "weight", "words", "places")), strict=True):
-            p = np.frombuffer(p, np.uint32).astype(np.int64)
+            p = np.frombuffer(p, np.uint32)
             if not len(p):
                 continue
             n = int(p[-1]) + 1
-            words.append(np.frombuffer(w, np.uint32).astype(np.int64))
-            places.append(p + base)
-            docs.append(np.full(n, len(labels)))
+            words.append(np.frombuffer(w, np.uint32))
+            places.append(p + np.uint32(base))
+            docs.append(np.full(n, len(labels), np.int32))
             labels.append(label)
             weights.append(weight)
             base += n
     if labels:
-        model = fit(np.concatenate(words), np.concatenate(places), np.concatenate(docs), np.array(labels), np.array(weights))
+        joined = []
+        for held in (words, places, docs):
+            joined.append(np.concatenate(held))
+            held.clear()
+        model = fit(*joined, np.array(labels), np.array(weights))
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["weights", "bias"])
 
 
