@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS)
     sample = usable.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < of * (1 << 20))
     sample = F.broadcast(sample.select("doc_id", F.col("label").cast("int").alias("label"), (1 / of).alias("weight")))  # at most 2 * per_class rows or so
     found = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label", "weight")
-    model = found.mapInArrow(_features, "label int, weight double, words binary, places binary").coalesce(1).mapInArrow(_train, "weights binary, bias double")
+    model = found.mapInArrow(_features, "label int, weight double, words binary, places binary").repartition(1).mapInArrow(_train, "weights binary, bias double")
     row = model.first()
     return Model(np.frombuffer(row["weights"], np.float32), row["bias"]) if row else Model(np.zeros(1 << BITS, np.float32), -5.0)
 
