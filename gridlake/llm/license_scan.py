@@ -2,7 +2,8 @@
 
 Each file's licence words of highest inverse document frequency are looked up in the postings of the templates;
 postings that lie at the same relative position vote together, and a template with enough votes labels the file if the
-file also holds its mandatory key phrases. Plain phrases are found in every file besides.
+file also holds its mandatory key phrases. A template that gets too few votes from the looked-up words is verified
+exactly: all licence words of the file vote for it. Plain phrases are found in every file besides.
 """
 
 from __future__ import annotations
@@ -80,11 +81,15 @@ def scan(docs: DataFrame, lookups: int = LOOKUPS, votes: int = VOTES) -> DataFra
 
     docs: doc_id, text; other columns are ignored. Returns one row per input row: doc_id, n_words, n_base, first_word,
     last_word (null without a place), base_labels, labels (sorted, comma-joined) and score (the share of its looked-up
-    words that align with the best template; at least 0.5 where a base phrase stands, 0 without any label). Null and
+    words that align with the best template, or, for a template that only the exact way finds, of its words in the
+    file; at least 0.5 where a base phrase stands, 0 without any label). ORACLE lacks the exact way. Null and
     empty texts have no words; null and repeated doc_ids are rows like others; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    table = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_sql_values(postings())} AS t(template, place, word)"))
+    first = {}
+    slots = [(t, i, first.setdefault((t, w), i), w) for t, i, w in postings()]
+    assert max(s[1] for s in slots) < 64, "places are bits of a 64-bit mask"
+    table = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_sql_values(slots)} AS t(template, place, slot, word)"))
     vocabulary = sorted({w for _, _, w in postings()})
     words = docs.select(common.text_id(F.col("text")).alias("rid"), F.split(F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), SEPARATORS, " ")), " ").alias("w"))
     hits = words.select("rid", F.posexplode("w").alias("pos", "word")).where(F.col("word").isin(vocabulary))
@@ -93,8 +98,18 @@ def scan(docs: DataFrame, lookups: int = LOOKUPS, votes: int = VOTES) -> DataFra
     frequency = F.broadcast(held.groupBy("word").agg(F.sum("rows").alias("df")))  # at most the templates' words
     ranked = held.join(frequency, "word").groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "word"))), 1, lookups).alias("top"))
     rare = ranked.select("rid", F.explode("top.word").alias("word"), F.size("top").alias("n"))
-    aligned = hits.join(rare, ["rid", "word"]).join(table, "word").groupBy("rid", "template", (F.col("pos") - F.col("place")).alias("at"), "n").agg(F.countDistinct("place").alias("votes"))
-    best = aligned.where(F.col("votes") >= votes).groupBy("rid", "template").agg(F.max(F.least(F.lit(1.0), F.col("votes") / F.col("n"))).alias("share"))
+    # Each licence word of a file meets all postings; places are bits of a mask, so that counts are combined map-side.
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    met = hits.join(rare, ["rid", "word"], "left").join(table, "word")
+    aligned = met.groupBy("rid", "template", (F.col("pos") - F.col("place")).alias("at")).agg(
+        F.bit_count(F.bit_or(F.when(F.col("n").isNotNull(), bit("place")))).alias("votes"), F.max("n").alias("n"),
+        F.bit_count(F.bit_or(bit("place"))).alias("exact"), F.bit_or(bit("slot")).alias("words"),
+    )
+    best = aligned.groupBy("rid", "template").agg(
+        F.max(F.when(F.col("votes") >= votes, F.least(F.lit(1.0), F.col("votes") / F.col("n")))).alias("looked_up"),
+        F.max(F.when(F.col("exact") >= votes, F.col("exact"))).alias("exact"), F.bit_count(F.bit_or("words")).alias("held"),
+    )
+    best = best.select("rid", "template", F.coalesce("looked_up", F.least(F.lit(1.0), F.col("exact") / F.col("held"))).alias("share")).where("share IS NOT NULL")
     found = common.saved(best.groupBy("rid").agg(F.collect_list(F.struct("template", "share")).alias("found")), "found")
 
     base = common.sized_join(base_places(docs), found, "rid", "left", 96 + 48 * F.size("found"))

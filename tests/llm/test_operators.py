@@ -212,6 +212,14 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_license_scan_finds_every_licence_of_a_file(spark):
+    bsd, apache = license_scan.TEMPLATES[1][1], "Licensed under the Apache License Version 2.0"
+    rows = [(0, f"{bsd}. {apache}", "", "")] + [(i, f"{apache} {i}", "", "") for i in range(1, 40)]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got[0]["labels"] == "apache,apache-2.0,bsd-3-clause" and got[0]["score"] == 1.0
+    assert all(got[i]["labels"] == "apache,apache-2.0" for i in range(1, 40))
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = random.Random(6)
     rows, labels = [], []
