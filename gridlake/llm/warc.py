@@ -77,15 +77,17 @@ def inflate(blocks: Iterator[bytes]) -> Iterator[bytes]:
 def records(plain: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, whole record) of each record; only the record at hand is kept."""
     held = bytearray()
-    need, fields = None, None
+    need, fields, searched = None, None, 0
     for more in plain:
         held += more
         while held:
             if need is None:
-                found = head_of(bytes(held[: 1 << 16]))
-                if found is None:
+                end = held.find(b"\r\n\r\n", searched)
+                if end < 0:
+                    searched = max(0, len(held) - 3)
                     break
-                fields, block = found
+                fields, block = head_of(bytes(held[: end + 4]))
+                searched = 0
                 need = block + int(fields["Content-Length"]) + 4
             if len(held) < need:
                 break

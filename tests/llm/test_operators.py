@@ -212,6 +212,15 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_long_head(spark):
+    url = "http://a/" + "".join(random.Random(7).choices("abcdefghij", k=100_000))
+    pages = spark.createDataFrame([(1, url, "x"), (2, "u", "y")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.archive_and_read(pages).collect()}
+    assert got[1]["url"] == url and got[1]["payload"] == b"x" and got[2]["payload"] == b"y"
+    whole = warc.record(1, url, b"x", hashlib.sha1(b"x").hexdigest(), None)
+    assert [w for _, w in warc.records(bytes([b]) for b in whole * 2)] == [whole, whole]
+
+
 def test_license_scan_finds_every_licence_of_a_file(spark):
     bsd, apache = license_scan.TEMPLATES[1][1], "Licensed under the Apache License Version 2.0"
     rows = [(0, f"{bsd}. {apache}", "", "")] + [(i, f"{apache} {i}", "", "") for i in range(1, 40)]
