@@ -34,6 +34,16 @@ def threshold_sweep(df: DataFrame, observed: Column, score: Column, thresholds:
     return counts.join(total).select("threshold", "tp", "fp", (F.col("positives") - F.col("tp")).alias("fn"), F.round(f1, 6).alias("f1"))
 
 
+def best_threshold(counts: DataFrame) -> DataFrame:
+    """One row (threshold, f1) of a threshold_sweep: the largest F1, then precision, then the lower share of predicted
+    positives, then the larger threshold. F1 is compared unrounded. Without positives: 0.5 and null."""
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
+    precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    rank = F.struct(F.coalesce(f1, F.lit(-1.0)), F.coalesce(precision, F.lit(-1.0)), -(F.col("tp") + F.col("fp")), F.col("threshold"))
+    best = counts.where("tp + fn > 0").agg(F.max_by(F.struct("threshold", "f1"), rank).alias("r"))
+    return best.select(F.coalesce("r.threshold", F.lit(0.5)).alias("threshold"), F.col("r.f1").alias("f1"))
+
+
 def leave_one_out(df: DataFrame, key: str, value: str) -> DataFrame:
     """df with the mean of its key's other rows (null where there is none)."""
     sums = df.groupBy(key).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))

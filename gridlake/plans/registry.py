@@ -181,6 +181,30 @@ def _(spark, d):
     return _sweep(spark, d).orderBy(F.desc("f1"), "threshold").limit(1).select("threshold", "f1")
 
 
+#: The whole grid of the reference, 0.01 to 0.99, and its choice of a threshold.
+_FULL_SWEEP = """, t AS (SELECT i / 100.0::DOUBLE AS threshold FROM range(1, 100) r(i)), k AS (SELECT threshold, CAST(count(*) FILTER (predicted >= threshold AND observed >= 0.5) AS BIGINT) AS tp,
+ CAST(count(*) FILTER (predicted >= threshold AND observed < 0.5) AS BIGINT) AS fp, CAST(count(*) FILTER (predicted < threshold AND observed >= 0.5) AS BIGINT) AS fn FROM t, o GROUP BY 1),
+ f AS (SELECT *, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM k)"""
+
+
+def _full_sweep(spark, d):
+    return metrics.threshold_sweep(observations(spark, d), Y() >= 0.5, P(), [i / 100 for i in range(1, 100)])
+
+
+@query("threshold_sweep_full", _FULL_SWEEP + " SELECT * FROM f")
+def _(spark, d):
+    return _full_sweep(spark, d)
+
+
+@query(
+    "best_threshold_full",
+    _FULL_SWEEP + """ SELECT coalesce(any_value(threshold), 0.5::DOUBLE) AS threshold, any_value(f1) AS f1 FROM (SELECT threshold, f1 FROM f WHERE tp + fn > 0
+ ORDER BY CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END DESC NULLS LAST, tp::DOUBLE / nullif(tp + fp, 0) DESC NULLS LAST, tp + fp, threshold DESC LIMIT 1)""",
+)
+def _(spark, d):
+    return metrics.best_threshold(_full_sweep(spark, d))
+
+
 @query("latest_order_per_customer", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 def _(spark, d):
     rows = scan(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from gridlake.operators import metrics
 from gridlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +22,11 @@ def test_query_equals_sql(spark, db, name):
     rows = sorted(map(repr, map(tuple, got.select(*columns).collect())))
     want = sorted(map(repr, db.execute(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({registry.SQL[name]})").fetchall()))
     assert rows == want
+
+
+def test_best_threshold_off_the_coarse_grid_and_ties(spark):
+    assert registry.QUERIES["threshold_sweep_full"](spark, SF).count() == 99
+    schema = "threshold double, tp long, fp long, fn long, f1 double"
+    rows = [(0.1, 2, 2, 0, 0.666667), (0.2, 1, 0, 1, 0.666667), (0.37, 1, 0, 1, 0.666667), (0.5, 0, 0, 2, 0.0)]
+    assert metrics.best_threshold(spark.createDataFrame(rows, schema)).collect() == [(0.37, 0.666667)]
+    assert metrics.best_threshold(spark.createDataFrame([(0.1, 0, 3, 0, 0.0)], schema)).collect() == [(0.5, None)]
