@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlake.functions import classify
-from gridlake.operators import metrics, spatial
+from gridlake.operators import metrics, sampling, spatial
 from gridlake.sources.tables import OBSERVATIONS, latest, observations, scan
 
 FLAGSHIP = "area_bias_by_year"
@@ -104,6 +104,20 @@ def _(spark, d):
     return first.join(F.broadcast(size), ["year", "source"]).select("year", "source", "cell_id", F.round(F.col("population") / F.least("population", F.lit(20)), 6).alias("weight"))
 
 
+@query(
+    "stratified_sample_quota",
+    """, s AS (SELECT *, ((cell_id * 48271 + 7 * 7919) % 2147483647) / 2147483647.0::DOUBLE AS score FROM (SELECT DISTINCT year, source, cell_id FROM o)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY year, source ORDER BY score, cell_id) AS k, count(*) OVER (PARTITION BY year, source) AS population FROM s WHERE source <> 'R'),
+ q AS (SELECT *, least(population, CASE WHEN source = 'A' THEN least(greatest(ceil(population * 0.1::DOUBLE), 20), 200) ELSE greatest(ceil(population * 0.05::DOUBLE), 10) END) AS quota FROM r)
+ SELECT year, source, cell_id, round(population::DOUBLE / quota, 6) AS weight FROM q WHERE k <= quota UNION ALL SELECT year, source, cell_id, 1.0::DOUBLE FROM s WHERE source = 'R'""",
+)
+def _(spark, d):
+    cells = observations(spark, d).select("year", "source", "cell_id").distinct()
+    source, score = F.col("source"), classify.sample_score(F.col("cell_id"), 7)
+    taken = sampling.quota_sample(cells, source == "R", ["year", "source"], "cell_id", score, [(source == "A", 0.1, 20, 200)], (0.05, 10, None))
+    return taken.withColumn("weight", F.round("weight", 6))
+
+
 _YEARLY = ", c AS (SELECT cell_id, year, sum(observed) AS v FROM o GROUP BY 1, 2)"
 
 

@@ -1,7 +1,8 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from gridlake.operators import metrics
+from gridlake.operators import metrics, sampling
 from gridlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,14 @@ def test_best_threshold_off_the_coarse_grid_and_ties(spark):
     rows = [(0.1, 2, 2, 0, 0.666667), (0.2, 1, 0, 1, 0.666667), (0.37, 1, 0, 1, 0.666667), (0.5, 0, 0, 2, 0.0)]
     assert metrics.best_threshold(spark.createDataFrame(rows, schema)).collect() == [(0.37, 0.666667)]
     assert metrics.best_threshold(spark.createDataFrame([(0.1, 0, 3, 0, 0.0)], schema)).collect() == [(0.5, None)]
+
+
+def test_quota_sample_keeps_observed_rows_and_grows(spark):
+    rows = [(s, i, i < 50) for s, n in (("a", 1050), ("b", 60), (None, 53)) for i in range(n)]
+    table = spark.createDataFrame(rows, "s string, id int, seen boolean")
+    got = sampling.quota_sample(table, F.col("seen"), ["s"], "id", F.pmod(F.col("id") * 7, F.lit(1000)) / 1000.0, [(F.col("s") == "a", 0.105, 20, 200)], (0.05, 4, None)).collect()
+    assert sum(r["seen"] for r in got) == 150 and all(r["weight"] == 1 for r in got if r["seen"])
+    other = {s: sorted(r["id"] for r in got if r["s"] == s and not r["seen"]) for s in ("a", "b", None)}
+    assert other["a"] == sorted(sorted(range(50, 1050), key=lambda i: (i * 7 % 1000, i))[:105])
+    assert other["b"] == sorted(sorted(range(50, 60), key=lambda i: (i * 7 % 1000, i))[:4]) and other[None] == [50, 51, 52]
+    assert {r["weight"] for r in got if r["s"] == "b" and not r["seen"]} == {2.5}
