@@ -1,4 +1,4 @@
-"""Aggregates: error metrics from sufficient statistics, totals rows, calibration, thresholds."""
+"""Aggregates: error metrics from sufficient statistics, totals rows, thresholds, leave-one-out means; ridge."""
 
 from __future__ import annotations
 
@@ -50,6 +50,22 @@ def leave_one_out(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.join(sums, key).withColumn("loo_mean", F.try_divide(F.col("_s") - F.col(value), F.col("_n") - 1)).drop("_s", "_n")
 
 
+def leave_one_out_chain(df: DataFrame, key: str, source: str, value: str) -> DataFrame:
+    """df with loo_mean and reason: the mean of the other rows of its key, else of its source (null: 'unknown'), else of all.
+
+    reason: cell, label_source, global, or none for a lone row, whose mean is null. Unlike the reference's fallback
+    means, those of source and all leave the row itself out too. Null values are in no mean, but get one.
+    """
+    own, out = F.col(value).isNotNull().cast("int"), df.withColumn("_source", F.coalesce(source, F.lit("unknown")))
+    means = []
+    for i, by in enumerate((key, "_source", None)):
+        sums = out.groupBy(*([F.col(by).alias(f"_by{i}")] if by else [])).agg(F.sum(value).alias(f"_s{i}"), F.count(value).alias(f"_n{i}"))
+        out = out.join(sums, F.col(by).eqNullSafe(F.col(f"_by{i}"))) if by else out.join(F.broadcast(sums))
+        means.append(F.try_divide(F.col(f"_s{i}") - F.coalesce(value, F.lit(0)), F.col(f"_n{i}") - own))
+    reason = F.when(means[0].isNotNull(), "cell").when(means[1].isNotNull(), "label_source").when(means[2].isNotNull(), "global").otherwise("none")
+    return out.select(*df.columns, F.coalesce(*means).alias("loo_mean"), reason.alias("reason"))
+
+
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float) -> list[float]:
     """Intercept and coefficients by normal equations; only sums of products leave the executors."""
     import numpy as np

@@ -1,4 +1,4 @@
-"""Grid operators: neighbourhood windows, hexagons, connected components of positive cells."""
+"""Grid operators: neighbourhood windows, hexagon coordinates."""
 
 from __future__ import annotations
 

@@ -139,6 +139,19 @@ def _(spark, d):
     return rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("v") - F.col("loo_mean"))), 6).alias("mae"))
 
 
+@query(
+    "leave_one_year_out_chain",
+    """, c AS (SELECT cell_id, year, min(source) AS source, sum(observed) AS v FROM o GROUP BY 1, 2), s AS (SELECT cell_id, sum(v) AS s, count(*) AS n FROM c GROUP BY 1),
+ q AS (SELECT source, sum(v) AS s, count(*) AS n FROM c GROUP BY 1), a AS (SELECT sum(v) AS s, count(*) AS n FROM c),
+ m AS (SELECT c.year, c.v, (s.s - c.v) / nullif(s.n - 1, 0) AS m0, (q.s - c.v) / nullif(q.n - 1, 0) AS m1, (a.s - c.v) / nullif(a.n - 1, 0) AS m2 FROM c JOIN s USING (cell_id) JOIN q ON q.source = c.source, a)
+ SELECT year, CASE WHEN m0 IS NOT NULL THEN 'cell' WHEN m1 IS NOT NULL THEN 'label_source' WHEN m2 IS NOT NULL THEN 'global' ELSE 'none' END AS reason, count(*) AS n, round(avg(abs(v - coalesce(m0, m1, m2))), 6) AS mae FROM m GROUP BY 1, 2""",
+)
+def _(spark, d):
+    yearly = observations(spark, d).groupBy("cell_id", "year").agg(F.min("source").alias("source"), F.sum("observed").alias("v"))
+    rows = metrics.leave_one_out_chain(yearly, "cell_id", "source", "v")
+    return rows.groupBy("year", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("v") - F.col("loo_mean"))), 6).alias("mae"))
+
+
 @query(
     "previous_year_class",
     _YEARLY + """ SELECT CASE WHEN c.v >= 0.5 AND coalesce(p.v, 0) >= 0.5 THEN 'persistent' WHEN c.v >= 0.5 THEN 'new' WHEN coalesce(p.v, 0) >= 0.5 THEN 'lost' ELSE 'low' END AS class, count(*) AS n

@@ -1,4 +1,4 @@
-"""Sources and sinks: pruned Parquet scans, CSV with a fixed header, JSON manifests."""
+"""Sources and sinks: pruned Parquet scans, CSV with a fixed header, partitioned Parquet."""
 
 from __future__ import annotations
 

@@ -42,3 +42,12 @@ def test_quota_sample_keeps_observed_rows_and_grows(spark):
     assert other["a"] == sorted(sorted(range(50, 1050), key=lambda i: (i * 7 % 1000, i))[:105])
     assert other["b"] == sorted(sorted(range(50, 60), key=lambda i: (i * 7 % 1000, i))[:4]) and other[None] == [50, 51, 52]
     assert {r["weight"] for r in got if r["s"] == "b" and not r["seen"]} == {2.5}
+
+
+def test_leave_one_out_falls_back_to_source_and_all(spark):
+    rows = [(1, 1, "a", 1.0), (1, 2, "a", 3.0), (2, 1, "a", 8.0), (3, 1, "b", 5.0), (4, 1, None, 7.0), (None, 1, None, 9.0), (1, 3, "a", None)]
+    got = metrics.leave_one_out_chain(spark.createDataFrame(rows, "cell int, year int, source string, v double"), "cell", "source", "v").collect()
+    assert {(r["cell"], r["year"]): (r["loo_mean"], r["reason"]) for r in got} == {
+        (1, 1): (3.0, "cell"), (1, 2): (1.0, "cell"), (2, 1): (2.0, "label_source"), (3, 1): (5.6, "global"),
+        (4, 1): (9.0, "label_source"), (None, 1): (7.0, "label_source"), (1, 3): (2.0, "cell"),
+    }
