@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only while its rows sum up to no more than this; beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most (one row is never cut).
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where unset (tests), a new local one."""
+    """The folder in spark.checkpoint.dir, which all executors share; where unset, a new local one if Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,10 +39,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Whole texts are long rows: Arrow batches of fewer of them keep Python workers small. A user's own setting holds."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Whole texts are long rows: smaller Arrow batches keep Python workers small. A user's own settings hold."""
+    limits = {"maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "maxBytesPerBatch": ("67108864b", f"{BATCH_BYTES}b")}
+    for name, (default, ours) in limits.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on and serves later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow, after whose last batch freed memory is given back."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +72,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fits(side: DataFrame, row_bytes: int | Column) -> bool:
+    """Whether side, of so many bytes a row in memory, may be broadcast. It should be saved, so that reading it is cheap."""
+    size = side.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return size <= BROADCAST_BYTES
+
+
 def sized_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int | Column) -> DataFrame:
     """big join small: small is measured and broadcast under BROADCAST_BYTES, else both are shuffled by the key.
 
-    row_bytes: of a row in memory; a column where rows differ. small should be a saved table, so that reading it is cheap.
+    row_bytes: of a row in memory; a column where rows differ. small should be a saved table.
     """
-    size = small.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
-    fits = size <= BROADCAST_BYTES
-    return big.join(F.broadcast(small) if fits else small.hint("shuffle_hash"), on, how)
+    return big.join(F.broadcast(small) if fits(small, row_bytes) else small.hint("shuffle_hash"), on, how)
 
 
 def text_id(text: Column) -> Column:
-    """64-bit id of a text; null counts as the empty text."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """128-bit id of a text (its MD5 digest); null counts as the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def with_text_ids(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +108,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
 
 def one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """rows without those whose text another doc_id keeps. Rows repeated with one doc_id all stay."""
-    joined = sized_join(rows, groups.select("rid", "keeper", F.lit(True).alias("grouped")), "rid", "left", 64)
+    joined = sized_join(rows, groups.select("rid", "keeper", F.lit(True).alias("grouped")), "rid", "left", 80)
     return joined.where(F.col("grouped").isNull() | F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*rows.columns)
 
 

@@ -1,11 +1,15 @@
 """Operator 1: exact removal of repeated passages by level-wise doubling.
 
-A window is `window` consecutive words of one text. Levels are window lengths, each twice the one before (the last
-is cut to `window`). At each level only places whose sequence occurs somewhere else survive, and only survivors are
-extended to the next level; the loop ends when none is left or the window's length is reached.
+A window is `window` consecutive words of one text. Levels are window lengths, each twice the one before (5, 10, 20;
+the last is cut to `window`). At each level only places whose sequence occurs somewhere else survive, and only survivors
+are extended to the next level; the loop ends when none is left or the window's length is reached.
 
 Below the full length a level need not look at every place: each window is represented by the sub-window with
-the smallest hash in it (equal windows choose equal sub-windows), so about a tenth of the places is shuffled.
+the smallest hash in it (equal windows choose equal sub-windows), so about a fifteenth of the places is shuffled.
+
+Identity: texts by 128-bit digests, windows of the full length by 96 hash bits (a collision is expected in none of a
+thousand runs over 10 ** 13 windows). Shorter levels only choose candidates, so their 64-bit hashes can add work but
+no result.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from . import common
 from .text_hash import U, mix, slices, sliding, window_hashes, word_bounds, word_hashes
 
 MOST = U(0xFFFFFFFFFFFFFFFF)
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-PLACES = "k long, rid long, pos int, state int"
+PLACES = "k long, more int, rid binary, pos int, state int"
 #: state of a place: seen once in its slice, seen there twice or more (known to repeat), already known and passed on.
 ONCE, REPEATED, PASSED = 0, 1, 2
 
@@ -67,9 +72,11 @@ def _chosen(words: np.ndarray, first: np.ndarray, length: int, window: int, prio
 
 
 def _places(length: int, window: int, prior_length: int | None):
+    """A row for each chosen place: hash (k, and more bits of another one at the full length), rid, pos, state."""
+
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids = batch.column("rid").to_numpy(zero_copy_only=False)
             prior = batch.column("places") if prior_length else None
             for lo, hi, data, offsets in slices(batch.column("text")):
                 starts, ends, first = word_bounds(data, offsets)
@@ -77,95 +84,124 @@ def _places(length: int, window: int, prior_length: int | None):
                 marks = None
                 if prior_length:
                     marks = np.zeros(len(words) + 1, bool)
-                    part = prior.slice(lo, hi - lo)
-                    sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-                    marks[np.repeat(first[:-1], sizes) + part.flatten().to_numpy(zero_copy_only=False)] = True
+                    row, pos = _marked(prior.slice(lo, hi - lo))
+                    marks[first[row] + pos] = True
                 at, hashes = _chosen(words, first, length, window, (prior_length, marks) if prior_length else None)
                 if not len(at):
                     continue
                 row = np.searchsorted(first, at, "right") - 1
-                rid, pos = rids[lo:hi][row], (at - first[row]).astype(np.int32)
-                _, one, of, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                more = (window_hashes(mix(words), length)[at] & U(0x7FFFFFFF)).astype(np.int32) if length == window else np.zeros(len(at), np.int32)
+                _, one, count = np.unique(hashes, return_index=True, return_counts=True)
                 state = np.full(len(at), PASSED, np.int32)
                 state[one] = np.where(count > 1, REPEATED, ONCE)
-                key = np.where(state == PASSED, mix(rid.view(U) + pos.astype(U)), hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid), pa.array(pos), pa.array(state)], ["k", "rid", "pos", "state"])
+                key = np.where(state == PASSED, mix(hashes + at.astype(U)), hashes).view(np.int64)
+                rids = batch.column("rid").slice(lo, hi - lo).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(more), rids, pa.array((at - first[row]).astype(np.int32)), pa.array(state)], ["k", "more", "rid", "pos", "state"]
+                )
 
     return run
 
 
+@common.lean
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by k: those passed on, and those whose k occurs twice or is known to repeat."""
-    held = None
+    """rid and pos of rows, sorted by k and more, that are passed on, or whose hash occurs twice or is known to repeat.
+
+    A run of one hash over many batches is never held: its rows leave as soon as it is known to repeat.
+    """
+    held = known = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        key, state = cols[0], cols[3]
-        passed = state == PASSED
-        if not len(key):
-            continue
-        last = int(np.searchsorted(key, key[-1], "left"))  # the last run may go on in the next batch
-        if last == 0:
-            held = cols
+        if not batch.num_rows:
             continue
-        held = [x[last:].copy() for x in cols]
-        yield from _flagged([x[:last] for x in cols], passed[:last])
-    if held is not None:
-        yield from _flagged(held, held[3] == PASSED)
-
-
-def _flagged(cols: list[np.ndarray], passed: np.ndarray) -> Iterator[pa.RecordBatch]:
-    key, rid, pos, state = cols
-    if not len(key):
-        return
-    own = np.flatnonzero(~passed)
-    keep = passed.copy()
-    if len(own):
-        new = np.flatnonzero(np.r_[True, key[own][1:] != key[own][:-1]])
-        size = np.diff(np.r_[new, len(own)])
-        known = np.maximum.reduceat(state[own], new) == REPEATED
-        keep[own] = np.repeat((size > 1) | known, size)
-    yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(pos[keep])], ["rid", "pos"])
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        k, more, state = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "more", "state"))
+        own = state != PASSED
+        new = np.r_[True, (k[1:] != k[:-1]) | (more[1:] != more[:-1])]
+        run, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        again = (np.bincount(run, own) > 1) | np.logical_or.reduceat(state == REPEATED, start)
+        again[0] |= known == (k[0], more[0])
+        keep = ~own | again[run]
+        known = (k[-1], more[-1]) if again[-1] else None
+        alone = np.flatnonzero(own[start[-1] :])
+        held = None if again[-1] or not len(alone) else batch.slice(int(start[-1] + alone[0]), 1)
+        yield batch.select(["rid", "pos"]).filter(pa.array(keep))
+
+
+@common.lean
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid and places of rows rid, at (array of places): a bit for each word up to the last place."""
+    for batch in batches:
+        lists, out = batch.column("at"), []
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            bits = np.zeros(int(values[a:b].max(initial=-1)) + 1, np.uint8)
+            bits[values[a:b]] = 1
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary())], ["rid", "places"])
+
+
+def _marked(places: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of each bit set in bitmaps."""
+    blobs = pc.fill_null(places, b"").cast(pa.large_binary())
+    ends = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1] * 8
+    bits = np.unpackbits(np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0] // 8 : ends[-1] // 8]) if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    at = np.flatnonzero(bits) + ends[0]
+    row = np.searchsorted(ends, at, "right") - 1
+    return row, at - ends[row]
 
 
 def _bytes() -> Column:
-    """Of a row with places in memory."""
-    return 96 + 8 * F.coalesce(F.size("places"), F.lit(0))
+    """Of a row with a bitmap of places in memory."""
+    return 112 + F.coalesce(F.octet_length("places"), F.lit(0))
+
 
+def repeated_places(texts: DataFrame, window: int = 35, seed: int = 5) -> DataFrame:
+    """rid and places (a bitmap of starts) of the windows of texts (rid, text) that occur twice or more among them.
 
-def repeated_places(texts: DataFrame, window: int = 35, seed: int = 18) -> DataFrame:
-    """rid and places (sorted starts) of the windows of texts (rid, text) that occur twice or more among them."""
-    survivors, before = None, None
+    While the survivors of a level are small they are broadcast. Beyond that the texts are dealt out by rid once and kept
+    so on disk, and each further level moves its survivors alone; what a lost executor held is made again.
+    """
+    survivors, before, dealt = None, None, False
     for length in level_lengths(window, seed):
         rows = texts
         if survivors is not None:
             if survivors.isEmpty():
                 break
-            rows = common.sized_join(texts, survivors, "rid", "inner", _bytes())
+            if common.fits(survivors, _bytes()):
+                rows = texts.join(F.broadcast(survivors), "rid")
+            else:
+                if not dealt:
+                    texts, dealt = texts.repartition("rid").persist(StorageLevel.DISK_ONLY), True
+                rows = texts.join(survivors.hint("shuffle_hash"), "rid")
         columns = ["rid", "text"] + ["places"] * (survivors is not None)
         places = rows.select(*columns).mapInArrow(_places(length, window, before), PLACES)
-        alive = places.repartition("k").sortWithinPartitions("k").mapInArrow(_repeated, "rid long, pos int")
-        survivors = common.saved(alive.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("places")), f"level{length}")
+        alive = places.repartition("k").sortWithinPartitions("k", "more").mapInArrow(_repeated, "rid binary, pos int")
+        survivors = common.saved(alive.groupBy("rid").agg(F.collect_set("pos").alias("at")).mapInArrow(_bitmaps, "rid binary, places binary"), f"level{length}")
         before = length
+    if dealt:
+        texts.unpersist()
     return survivors
 
 
 def _cut(window: int, carry: tuple[str, ...]):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, digests, texts = [], [], [], []
-            for text, copied, places in zip(batch.column("text"), batch.column("copied"), batch.column("places"), strict=True):
+            row, pos = _marked(batch.column("places"))
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for i, (text, copied) in enumerate(zip(batch.column("text"), batch.column("copied"), strict=True)):
                 words = text.as_py().encode().split()
                 total = len(words)
                 if copied.as_py() and total >= window:
                     words = []
-                elif places.is_valid:
+                elif begin[i] < begin[i + 1]:
+                    at = pos[begin[i] : begin[i + 1]]
                     cover = np.zeros(total + 1, np.int32)
-                    at = places.values.to_numpy(zero_copy_only=False)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
+                    cover[at] += 1
+                    cover[at + window] -= 1
+                    words = [words[x] for x in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
                 kept = b" ".join(words)
                 n.append(total)
                 removed.append(total - len(words))
@@ -179,7 +215,7 @@ def _cut(window: int, carry: tuple[str, ...]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 18, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a window whose word sequence also starts anywhere else.
 
     docs: doc_id, text; other columns are ignored but for those in carry. Returns one row per input row: doc_id,
