@@ -24,8 +24,10 @@ from . import common
 from .word_ids import gather, parts
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words whose ids a task remembers before it starts afresh.
-CACHE = 600_000
+#: Bytes, about, that a task spends on remembered words before it starts afresh, and what an entry needs besides its text.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 230
+#: Text bytes encoded together; one text is never cut.
+TOGETHER_BYTES = 1 << 20
 #: Words of letters that are encoded as one text.
 TOGETHER = 2000
 #: Marks after a Latin letter or digit, which stays one when normalised: the tokenizer splits them there.
@@ -33,7 +35,7 @@ CLOSING = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])
 
 
 class WordEncoder:
-    """Ids of words and texts as the tokenizer's file at path gives them.
+    """Ids of words and texts as the tokenizer's file at path gives them; strings of special tokens are ordinary text there.
 
     The tokenizer drops white space and never merges across it, lower-cases, and splits marks from words, so words
     and marks are encoded once each and remembered. Many words of letters are encoded as one text, whose ids are cut
@@ -52,6 +54,7 @@ class WordEncoder:
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -72,13 +75,17 @@ class WordEncoder:
 
     def of_words(self, words: list[str]) -> list[bytes]:
         new = [word for word in words if word not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, words
+        size = sum(map(len, new)) + ENTRY_BYTES * len(new)
+        if self.held + size > CACHE_BYTES and self.known:
+            self.known, new, self.held = {}, words, 0
+            size = sum(map(len, new)) + ENTRY_BYTES * len(new)
+        self.held += size
         letters = [word for word in new if word.isalpha()]
         others = [word for word in new if not word.isalpha()]
         self.known.update(zip(letters, self._letter_ids(letters), strict=True))
-        if others:
-            self.known.update(zip(others, self._ids(others), strict=True))
+        for at in range(0, len(others), TOGETHER):
+            part = others[at : at + TOGETHER]
+            self.known.update(zip(part, self._ids(part), strict=True))
         return list(map(self.known.__getitem__, words))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +177,13 @@ def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float):
         for at in range(0, len(done), 4000):
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*done[at : at + 4000], strict=True), kinds, strict=True)], names)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Made for each task: what it remembers goes with it, so idle workers stay small.
         encode, end = WordEncoder(path), end_id.to_bytes(4, "little")
         packer = Packer(capacity, classes, waste, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for at, texts in parts(batch.column("text")):
+            for at, texts in parts(batch.column("text"), TOGETHER_BYTES):
                 ids, offsets = encode(texts)
                 docs = batch.column("doc_id").slice(at, len(texts)).to_pylist()
                 for doc, a, b in zip(docs, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -193,7 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     docs: doc_id, text; other columns are ignored. tokenizer: path of the tokenizer's file, on every worker.
     Returns one row per piece: doc_id, start (ids of its document before it), length, doc_tokens, sequence_id,
     offset in the sequence, ids (little-endian unsigned 32-bit). Null and empty texts are the single id end_id; null
-    and repeated doc_ids are documents like others; a document longer than capacity fills sequences of its own and
+    and repeated doc_ids are documents like others; strings of special tokens are encoded as ordinary text, as the
+    tokenizers' notes prescribe (encode_special_tokens); a document longer than capacity fills sequences of its own and
     its rest is packed; an empty table gives an empty one.
     """
     return docs.select("doc_id", "text").mapInArrow(_packed(tokenizer, capacity, end_id, classes, waste), PIECES)
