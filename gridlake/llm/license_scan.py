@@ -1,125 +1,108 @@
 """Operator 10: license scans by a positional rare-token index (built-in functions only).
 
-Each file's licence words of highest inverse document frequency are looked up in the postings of the templates;
-postings that lie at the same relative position vote together, and a template with enough votes labels the file if the
-file also holds its mandatory key phrases. A template that gets too few votes from the looked-up words is verified
-exactly: all licence words of the file vote for it. Plain phrases are found in every file besides.
+The templates' licence words with their places are the postings. For each file and each template that it may hold, the
+file's words of highest inverse document frequency among that template's are looked up; postings that lie at the same
+relative position vote together, and a template with enough votes labels the file if the file also holds its mandatory
+key phrases. A template that gets too few votes from the looked-up words is verified with all its words, so no template
+hides another. Plain phrases are found in every file besides.
+
+A text is normalised once: one pass keeps the few places of licence words and which key phrases stand in the text; what
+follows moves no text.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .license_texts import LICENSES, PHRASES, PLAIN
+from .license_texts import words as words_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# Phrases and their labels.
-PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Distinctive passages of public licences (label, passage, mandatory key phrases).
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", ("redistribution and use in source and binary forms", "endorse or promote products")),
-    ("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", ("redistributions in binary form must reproduce",)),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc-by-4.0", "this work is shared under cc by 4 0", ("cc by 4 0",)),
-    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3")),
-    ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
-    ("mit", "released under the mit license see the license file", ("mit license",)),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
-# Template words too frequent in prose to be licence words.
-PLAIN = "a and any are as at by either for in is it its may met must nor not of on option or see that the this to use used with you your work".split()
-#: Licence words looked up for a file, and the votes at one relative position that a template needs.
+#: (label, words, mandatory key phrases)
+TEMPLATES = tuple((label, words_of(text), phrases) for label, text, phrases in LICENSES)
+#: Words looked up for a file and template, and the votes at one relative position that a template needs.
 LOOKUPS, VOTES = 8, 3
 
 
-def _word_string(text: Column) -> Column:
-    """Each word between a space of its own on either side, so that phrases never share one."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    single = F.trim(F.regexp_replace(lower, SEPARATORS, " "))
-    return F.when(single == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(single, F.lit(" "), F.lit("  ")), F.lit(" ")))
+def postings(templates=TEMPLATES) -> list[tuple[int, int, str]]:
+    """(template, place in it, word) of the templates' licence words; a fixed, small table."""
+    return [(t, i, w) for t, (_, passage, _) in enumerate(templates) for i, w in enumerate(passage) if w not in PLAIN]
 
 
-def _spaced(phrase: str) -> str:
-    return "".join(f" {w} " for w in phrase.split())
+def _places(phrase: str) -> Column:
+    """Starts of a phrase in the words w; null where single does not hold it."""
+    parts = phrase.split()
+    here = lambda i: functools.reduce(operator.and_, [F.get("w", i + j) == x for j, x in enumerate(parts)])
+    return F.when(_holds(phrase), F.filter(F.sequence(F.lit(0), F.size("w") - 1), here))
 
 
-def _n_words(s: Column) -> Column:
-    return ((F.length(s) - F.length(F.translate(s, " ", ""))) / 2).cast("long")
+def _holds(phrase: str) -> Column:
+    return F.col("single").contains(f" {phrase} ")
 
 
-def base_places(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, words (the spaced string), n_words, n_base, first_word, last_word, base (labels)."""
-    rows = docs.select("doc_id", common.text_id(F.col("text")).alias("rid"), _word_string(F.col("text")).alias("words"))
-    firsts, lasts, counts, labels = [], [], [], []
-    for phrase, label in PHRASES.items():
-        spaced = _spaced(phrase)
-        here = F.col("words").contains(spaced)
-        counts.append(F.when(here, ((F.length("words") - F.length(F.replace("words", F.lit(spaced)))) / len(spaced)).cast("long")).otherwise(0))
-        firsts.append(F.when(here, _n_words(F.substring_index("words", spaced, 1))))
-        lasts.append(F.when(here, F.col("n_words") - len(phrase.split()) - _n_words(F.substring_index("words", spaced, -1))))
-        labels.append(F.when(here, F.lit(label)))
-    counted = rows.withColumn("n_words", _n_words(F.col("words")))
-    return counted.select(
-        "doc_id", "rid", "words", "n_words", sum(counts[1:], counts[0]).cast("long").alias("n_base"),
-        F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), F.array_compact(F.array(*labels)).alias("base"),
+def read_files(docs: DataFrame, votes: int = VOTES) -> DataFrame:
+    """A row per text, without the text: doc_id, n_words, n_base, first_word, last_word, base (labels), hits (place and
+    word of licence words) and sure (templates all of whose key phrases stand there, where hits are as many as votes)."""
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, SEPARATORS, " ")), F.lit(" ")).alias("single"))
+    rows = rows.withColumn("w", F.when(F.col("single") == "  ", F.array().cast("array<string>")).otherwise(F.split(F.trim("single"), " ")))
+    vocabulary = sorted({w for _, _, w in postings()})
+    placed = F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("word")))
+    rows = rows.withColumn("hits", F.filter(placed, lambda h: h["word"].isin(vocabulary)))
+    for k, phrase in enumerate(PHRASES):
+        rows = rows.withColumn(f"p{k}", _places(phrase))
+    found = [F.col(f"p{k}") for k in range(len(PHRASES))]
+    sure = F.array_compact(F.array(*[F.when(functools.reduce(operator.and_, map(_holds, phrases)), F.lit(t)) for t, (_, _, phrases) in enumerate(TEMPLATES)]))
+    return rows.select(
+        "doc_id", F.size("w").cast("long").alias("n_words"), "hits",
+        sum((F.coalesce(F.size(p), F.lit(0)) for p in found), F.lit(0)).cast("long").alias("n_base"),
+        F.least(*map(F.array_min, found)).cast("long").alias("first_word"), F.greatest(*map(F.array_max, found)).cast("long").alias("last_word"),
+        F.array_compact(F.array(*[F.when(p.isNotNull(), F.lit(label)) for p, label in zip(found, PHRASES.values(), strict=True)])).alias("base"),
+        F.when(F.size("hits") >= votes, sure).otherwise(F.array().cast("array<int>")).alias("sure"),
     )
 
 
-def postings(templates=TEMPLATES) -> list[tuple[int, int, str]]:
-    """(template, place in it, word) of the templates' licence words; a fixed, small table."""
-    return [(t, i, w) for t, (_, passage, _) in enumerate(templates) for i, w in enumerate(passage.split()) if w not in PLAIN]
-
-
 def scan(docs: DataFrame, lookups: int = LOOKUPS, votes: int = VOTES) -> DataFrame:
     """Licences of every whole text.
 
     docs: doc_id, text; other columns are ignored. Returns one row per input row: doc_id, n_words, n_base, first_word,
-    last_word (null without a place), base_labels, labels (sorted, comma-joined) and score (the share of its looked-up
-    words that align with the best template, or, for a template that only the exact way finds, of its words in the
-    file; at least 0.5 where a base phrase stands, 0 without any label). ORACLE lacks the exact way. Null and
-    empty texts have no words; null and repeated doc_ids are rows like others; an empty table gives an empty one.
+    last_word (null without a place), base_labels, labels (sorted, comma-joined) and score (of the best template the
+    share of its looked-up words that align or, where those are too few, of all its words; at least 0.5 where a base
+    phrase stands, 0 without any label). A BSD-3 file holds the two clauses as well and has both labels. Null and empty
+    texts have no words; null and repeated doc_ids are rows like others; an empty table gives an empty one. Letters beyond
+    A-Z are lower-cased too: that changes no word's bounds and no phrase (only the Kelvin sign becomes a k).
     """
     spark = docs.sparkSession
-    first = {}
-    slots = [(t, i, first.setdefault((t, w), i), w) for t, i, w in postings()]
-    assert max(s[1] for s in slots) < 64, "places are bits of a 64-bit mask"
-    table = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_sql_values(slots)} AS t(template, place, slot, word)"))
-    vocabulary = sorted({w for _, _, w in postings()})
-    words = docs.select(common.text_id(F.col("text")).alias("rid"), F.split(F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), SEPARATORS, " ")), " ").alias("w"))
-    hits = words.select("rid", F.posexplode("w").alias("pos", "word")).where(F.col("word").isin(vocabulary))
-    hits = common.saved(hits.groupBy("rid", "word", "pos").agg(F.count(F.lit(1)).alias("rows")), "hits")
-    held = hits.groupBy("rid", "word").agg(F.max("rows").alias("rows"))
-    frequency = F.broadcast(held.groupBy("word").agg(F.sum("rows").alias("df")))  # at most the templates' words
-    ranked = held.join(frequency, "word").groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "word"))), 1, lookups).alias("top"))
-    rare = ranked.select("rid", F.explode("top.word").alias("word"), F.size("top").alias("n"))
-    # Each licence word of a file meets all postings; places are bits of a mask, so that counts are combined map-side.
-    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
-    met = hits.join(rare, ["rid", "word"], "left").join(table, "word")
-    aligned = met.groupBy("rid", "template", (F.col("pos") - F.col("place")).alias("at")).agg(
-        F.bit_count(F.bit_or(F.when(F.col("n").isNotNull(), bit("place")))).alias("votes"), F.max("n").alias("n"),
-        F.bit_count(F.bit_or(bit("place"))).alias("exact"), F.bit_or(bit("slot")).alias("words"),
+    table = F.broadcast(spark.sql(f"SELECT * FROM VALUES {_sql_values(postings())} AS t(template, place, word)"))
+    files = common.saved(read_files(docs, votes).withColumn("id", F.monotonically_increasing_id()), "files")
+    distinct = F.array_distinct(F.transform("hits", lambda h: h["word"]))
+    frequency = F.broadcast(files.select(F.explode(distinct).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))  # at most the templates' words
+    may = files.where(F.size("sure") > 0).select("id", F.explode("sure").alias("template"), "hits")
+    held = may.select("id", "template", F.explode(distinct).alias("word")).join(table.select("template", "word").distinct(), ["template", "word"]).join(frequency, "word")
+    rare = held.groupBy("id", "template").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("df", "word"))), 1, lookups), lambda x: x["word"]).alias("rare"))
+    met = may.join(rare, ["id", "template"]).select("id", "template", "rare", F.explode("hits").alias("h")).select("id", "template", "rare", "h.pos", "h.word")
+    # At one relative position each place of the file meets one place of the template: rows are votes.
+    aligned = met.join(table, ["template", "word"]).groupBy("id", "template", (F.col("pos") - F.col("place")).alias("at")).agg(
+        F.count_if(F.array_contains("rare", F.col("word"))).alias("votes"), F.count(F.lit(1)).alias("exact"), F.max(F.size("rare")).alias("n")
     )
-    best = aligned.groupBy("rid", "template").agg(
+    totals = F.array(*[F.lit(sum(w not in PLAIN for w in passage)) for _, passage, _ in TEMPLATES])
+    best = aligned.groupBy("id", "template").agg(
         F.max(F.when(F.col("votes") >= votes, F.least(F.lit(1.0), F.col("votes") / F.col("n")))).alias("looked_up"),
-        F.max(F.when(F.col("exact") >= votes, F.col("exact"))).alias("exact"), F.bit_count(F.bit_or("words")).alias("held"),
+        F.max(F.when(F.col("exact") >= votes, F.col("exact") / F.get(totals, F.col("template")))).alias("exact"),
     )
-    best = best.select("rid", "template", F.coalesce("looked_up", F.least(F.lit(1.0), F.col("exact") / F.col("held"))).alias("share")).where("share IS NOT NULL")
-    found = common.saved(best.groupBy("rid").agg(F.collect_list(F.struct("template", "share")).alias("found")), "found")
+    best = best.select("id", "template", F.coalesce("looked_up", "exact").alias("share")).where("share IS NOT NULL")
+    found = common.saved(best.groupBy("id").agg(F.collect_list(F.struct("template", "share")).alias("found")), "found")
 
-    base = common.sized_join(base_places(docs), found, "rid", "left", 96 + 48 * F.size("found"))
-    phrases = [F.array(*[F.lit(_spaced(p)) for p in t[2]]) for t in TEMPLATES]
-    every = F.array(*phrases)
     names = F.array(*[F.lit(t[0]) for t in TEMPLATES])
-    sure = F.filter(F.coalesce("found", F.array()), lambda x: F.forall(F.get(every, x["template"]), lambda p: F.col("words").contains(p)))
-    out = base.withColumn("sure", sure)
-    more = F.transform("sure", lambda x: F.get(names, x["template"]))
-    top = F.coalesce(F.array_max(F.transform("sure", lambda x: x["share"])), F.lit(0.0))
+    out = common.sized_join(files.drop("hits", "sure"), found, "id", "left", 64 + 24 * F.size("found"))
+    more = F.coalesce(F.transform("found", lambda x: F.get(names, x["template"])), F.array().cast("array<string>"))
+    top = F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
@@ -134,21 +117,21 @@ def _sql_values(rows) -> str:
 
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-e AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS x, unnest(range(0, len(w))) AS i, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
+e AS (SELECT r, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM d),
 p(phrase, label) AS (VALUES {_sql_values(PHRASES.items())}),
 b AS (SELECT d.r, label, i FROM d, p, unnest(range(0, len(w))) AS u(i) WHERE array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase),
 bb AS (SELECT r, count(*) AS n, min(i) AS f, max(i) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, list(DISTINCT label) AS ls FROM b GROUP BY r),
 t(template, place, word) AS (VALUES {_sql_values(postings())}),
+q AS (SELECT template, count(*) AS total FROM t GROUP BY template),
 k(template, label, phrase) AS (VALUES {_sql_values((i, t[0], p) for i, t in enumerate(TEMPLATES) for p in t[2])}),
-h AS (SELECT r, s, x AS word, i FROM e WHERE x IN (SELECT word FROM t)),
+h AS (SELECT r, x AS word, i FROM e WHERE x IN (SELECT word FROM t)),
 f AS (SELECT word, count(DISTINCT r) AS df FROM h GROUP BY word),
-o AS (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY df, word) AS k FROM (SELECT DISTINCT r, word, df FROM h JOIN f USING (word))),
-c AS (SELECT r, word, count(*) OVER (PARTITION BY r) AS n FROM o WHERE k <= {LOOKUPS}),
-a AS (SELECT r, template, i - place AS z, any_value(c.n) AS n, count(DISTINCT place) AS votes FROM h JOIN c USING (r, word) JOIN t USING (word) GROUP BY 1, 2, 3),
-m AS (SELECT r, template, max(least(1.0::DOUBLE, votes / n)) AS share FROM a WHERE votes >= {VOTES} GROUP BY 1, 2),
-y AS (SELECT m.r, m.template, any_value(share) AS share, any_value(label) AS label FROM m JOIN k USING (template) JOIN d ON d.r = m.r GROUP BY m.r, m.template
-  HAVING bool_and(contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || phrase || ' '))),
-z AS (SELECT r, max(share) AS share, list(DISTINCT label) AS ls FROM y GROUP BY r)
+y AS (SELECT r, template, any_value(label) AS label FROM d, k GROUP BY r, template HAVING bool_and(contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' '))),
+o AS (SELECT r, template, word, row_number() OVER (PARTITION BY r, template ORDER BY df, word) AS rank FROM (SELECT DISTINCT r, template, word FROM h JOIN t USING (word)) JOIN f USING (word)),
+c AS (SELECT r, template, word, count(*) OVER (PARTITION BY r, template) AS n FROM o WHERE rank <= {LOOKUPS}),
+a AS (SELECT h.r, t.template, i - place AS z, count(c.word) AS votes, count(*) AS exact, max(c.n) AS n FROM h JOIN t USING (word) LEFT JOIN c ON c.r = h.r AND c.template = t.template AND c.word = h.word GROUP BY 1, 2, 3),
+m AS (SELECT r, template, coalesce(max(CASE WHEN votes >= {VOTES} THEN least(1.0::DOUBLE, votes / n) END), max(CASE WHEN exact >= {VOTES} THEN exact / total END)) AS share FROM a JOIN q USING (template) GROUP BY 1, 2),
+z AS (SELECT r, max(share) AS share, list(DISTINCT label) AS ls FROM m JOIN y USING (r, template) WHERE share IS NOT NULL GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(bb.n, 0) AS BIGINT) AS n_base, CAST(bb.f AS BIGINT) AS first_word, CAST(bb.l AS BIGINT) AS last_word, coalesce(bb.labels, '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.ls, []), coalesce(z.ls, [])))), ','), '') AS labels,
   greatest(coalesce(z.share, 0.0), CASE WHEN bb.n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
