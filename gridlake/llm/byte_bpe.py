@@ -21,11 +21,21 @@ from pyspark.sql import DataFrame
 from . import common
 from .word_ids import gather, parts
 
-#: Chunks and matches whose ids a worker remembers before it starts afresh.
-CACHE = 900_000
+#: Bytes, about, that a worker spends on remembered chunks before it starts afresh, what an entry needs besides its
+#: text, and pairs of tokens of which it remembers whether they may follow each other.
+CACHE_BYTES, ENTRY_BYTES, PAIRS = 96 << 20, 230, 500_000
 #: Where a space is not single before a visible character, the text is split by the pattern as a whole.
 ODD_SPACE = re.compile(r" (?=\s|$)")
-_LOADED: dict[tuple[str, str], BytePairs] = {}
+_LOADED: dict[tuple[str, str], tuple] = {}
+
+
+class Remembered(dict):
+    """Ids by chunk, and about how many bytes they take."""
+
+    size = 0
+
+    def grow(self, chunks: list[str]) -> None:
+        self.size += sum(map(len, chunks)) + ENTRY_BYTES * len(chunks)
 
 
 class BytePairs:
@@ -70,7 +80,7 @@ class BytePairs:
         key = left << 32 | right
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             known = self.follows[key] = self._may_follow(left, right)
         return known
@@ -142,12 +152,15 @@ def load(path: str, pattern: str) -> tuple:
     if (path, pattern) not in _LOADED:
         import regex
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _LOADED[path, pattern] = BytePairs(ranks), regex.compile(pattern), {}
+        _LOADED[path, pattern] = BytePairs(read_ranks(path)), regex.compile(pattern), Remembered()
     return _LOADED[path, pattern]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 def _learn(matches: set[str], pairs: BytePairs) -> dict[str, bytes]:
     """The ids of matches. In sorted order neighbours begin alike, and the entries of shared prefixes stay."""
     table, out = PrefixTable(pairs), {}
@@ -164,12 +177,15 @@ def encode_chunks(chunks: list[str], loaded: tuple) -> list[bytes]:
     """The ids of each chunk, little-endian unsigned 32-bit; remembered, as chunks recur."""
     pairs, pattern, known = loaded
     new = [chunk for chunk in chunks if chunk not in known]
-    if len(known) + len(new) > CACHE:
+    if known.size > CACHE_BYTES:
         known.clear()
-        new = chunks
+        known.size, new = 0, chunks
+    known.grow(new)
     if new:
         matched = [pattern.findall(chunk) for chunk in new]
-        known.update(_learn({match for matches in matched for match in matches if match not in known}, pairs))
+        learned = _learn({match for matches in matched for match in matches if match not in known}, pairs)
+        known.grow(list(learned))
+        known.update(learned)
         known.update(zip(new, [b"".join(map(known.__getitem__, matches)) for matches in matched], strict=True))
     return list(map(known.__getitem__, chunks))
 
@@ -208,6 +224,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     length are encoded whole; null and repeated doc_ids are rows like others; an empty table gives an empty one.
     """
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = load(ranks, pattern)
         for batch in batches:
@@ -218,11 +235,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space) and decoded (bytes) of doc_id, ids."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = load(ranks, pattern)[0].bytes_of
+        bytes_of = {rank: token for token, rank in read_ranks(ranks).items()}
         size = max(bytes_of, default=-1) + 1
         decimal = [str(i) for i in range(size)]
         for batch in batches:
@@ -247,5 +265,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = decode(encode(common.table(spark, sf_dir, "documents"), *how), *how)
+    decoded = decode(encode(common.table(spark, sf_dir, "documents"), *how), how[0])
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
