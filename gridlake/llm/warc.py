@@ -123,10 +123,13 @@ class _Archive:
 
     def close(self) -> None:
         self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:  # of an earlier attempt; a store may refuse to replace
+            self.fs.delete_file(self.path)
         self.fs.move(self.part, self.path)
 
 
 def _write(folder: str):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, archive, made, n, size = TaskContext.get().partitionId(), None, 0, 0, 0
 
@@ -159,6 +162,7 @@ def _page(urn: str) -> int | None:
 
 
 def _normalise(folder: str, remove: bool):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = place(folder)
         for batch in batches:
@@ -197,6 +201,7 @@ def _normalise(folder: str, remove: bool):
 
 
 def _read(folder: str):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = place(folder)
         name = stream = None
