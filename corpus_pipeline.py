@@ -9,32 +9,33 @@ from gridlake.llm import common, ngram_join, packing, quality_rules, substring_d
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of these documents, does not reject."""
+    """Documents that the classifier, trained on the labels of these documents, does not reject. Null and empty texts score
+    0 and stay; null and repeated doc_ids are rows like others, judged by their texts alone; without labels all stay."""
     return toxicity.reject(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules, each row judged by its text alone; null and empty texts fail them."""
     return quality_rules.keep(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-duplicate text, that with the smallest doc_id."""
-    found = ngram_join.jaccard_classes(docs)
-    others = common.saved(found.where("component_id <> doc_id").select("doc_id").distinct(), "others")
-    return common.sized_join(docs, others, "doc_id", "left_anti", 24)
+    """One of each group of documents linked by near-duplicate text: that of the smallest doc_id (null last), then of the
+    smallest text id; of rows repeated with both, any one. Null and blank texts link with nothing and stay."""
+    return ngram_join.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that stand elsewhere too; n_chars follows the text."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    """Documents without the words of passages that stand elsewhere too; n_chars follows the text. All rows stay: null and
+    empty texts become empty ones, equal texts of 35 words or more lose them all; other columns are as they were."""
+    rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
     cut = substring_dedup.remove_repeats(rows, carry=("_row",))
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return cut.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of at most 4096 tokens."""
+    """Pieces of packed sequences of at most 4096 tokens; each row is a document, null and empty texts are an end mark."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -48,7 +49,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The first stage is a trained classifier, which SQL cannot express; tests hold run() against a plain version.
+#: The first stage is a trained classifier, which SQL cannot express; tests hold run() against a plain
+#: version of its other stages.
 ORACLE_SQL = None
 
 
