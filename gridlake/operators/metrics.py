@@ -1,8 +1,8 @@
-"""Aggregates: error metrics from sufficient statistics, totals rows, thresholds, leave-one-out means; ridge."""
+"""Aggregates: error metrics from sufficient statistics, totals rows, thresholds, leave-one-out means; ridge of a few features."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,28 @@ def regression_metrics(y: Column, p: Column) -> list[Column]:
     ]
 
 
+def weighted_metrics(y: Column, p: Column, w: Column) -> list[Column]:
+    """As regression_metrics with weights, and Pearson's correlation, from weighted sums of one pass; rows lacking a value
+    are in no sum."""
+    ok = y.isNotNull() & p.isNotNull() & w.isNotNull()
+    total = lambda x: F.sum(F.when(ok, w * x))
+    n, sy, sp = F.sum(F.when(ok, w)), total(y), total(p)
+    syy, spp, syp, see = total(y * y), total(p * p), total(y * p), total((p - y) * (p - y))
+    spread = lambda s, ss: ss - s * s / n
+    return [
+        F.count_if(ok).alias("n"), F.round(total(F.abs(p - y)) / n, 6).alias("mae"), F.round(F.sqrt(see / n), 6).alias("rmse"),
+        F.round(1 - F.try_divide(see, F.nullif(spread(sy, syy), F.lit(0.0))), 6).alias("r2"),
+        F.round(F.try_divide(syp - sy * sp / n, F.sqrt(spread(sy, syy)) * F.sqrt(spread(sp, spp))), 6).alias("pearson"),
+        F.round(sy / n, 6).alias("mean_observed"), F.round(sp / n, 6).alias("mean_predicted"), F.round(100 * F.try_divide(sp - sy, sy), 6).alias("percent_bias"),
+    ]
+
+
+def combined(rows: DataFrame, keys: list[str], n: str, means: list[str], roots: list[str]) -> DataFrame:
+    """Rows of summaries merged by keys: means weighted by n, roots of mean squares by the squares' means."""
+    size = F.sum(n)
+    return rows.groupBy(*keys).agg(size.alias(n), *[(F.sum(F.col(n) * F.col(c)) / size).alias(c) for c in means], *[F.sqrt(F.sum(F.col(n) * F.col(c) * F.col(c)) / size).alias(c) for c in roots])
+
+
 def with_totals(df: DataFrame, key: str, aggregates: list[Column], total: str = "all") -> DataFrame:
     """Groups by key and one row over all, in one aggregation."""
     grouped = df.withColumn("_key", F.col(key).cast("string")).rollup("_key").agg(*aggregates, F.grouping("_key").alias("_all"))
@@ -27,7 +49,8 @@ def threshold_sweep(df: DataFrame, observed: Column, score: Column, thresholds:
     """Confusion counts at each threshold: scores are counted by the last threshold they reach, then summed from above."""
     grid = F.array(*[F.lit(t) for t in thresholds])
     reached = df.select(observed.alias("y"), F.size(F.filter(grid, lambda t: score >= t)).alias("k")).groupBy("k").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    levels = reached.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(thresholds)], "level int, threshold double")
+    steps = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(t).alias("threshold")) for i, t in enumerate(thresholds, 1)])
+    levels = reached.sparkSession.range(1).select(F.explode(steps).alias("s")).select("s.level", "s.threshold")
     counts = levels.join(F.broadcast(reached), F.col("k") >= F.col("level"), "left").groupBy("threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))
     total = F.broadcast(reached.agg(F.sum("pos").alias("positives")))
     f1 = F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives"))
@@ -46,8 +69,8 @@ def best_threshold(counts: DataFrame) -> DataFrame:
 
 def leave_one_out(df: DataFrame, key: str, value: str) -> DataFrame:
     """df with the mean of its key's other rows (null where there is none)."""
-    sums = df.groupBy(key).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    return df.join(sums, key).withColumn("loo_mean", F.try_divide(F.col("_s") - F.col(value), F.col("_n") - 1)).drop("_s", "_n")
+    whole = Window.partitionBy(key)
+    return df.withColumn("loo_mean", F.try_divide(F.sum(value).over(whole) - F.col(value), F.count(value).over(whole) - 1))
 
 
 def leave_one_out_chain(df: DataFrame, key: str, source: str, value: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Stratified samples with quotas by population."""
+"""Stratified samples with quotas by population; rows chosen by rank."""
 
 from __future__ import annotations
 
@@ -40,3 +40,44 @@ def quota_sample(rows: DataFrame, observed: Column, strata: list[str], key: str,
     taken = others.join(slices, same).withColumn("_place", place).where("_place <= _quota")
     taken = taken.select(*rows.columns, (F.col("_population") / F.col("_quota")).alias("weight"))
     return rows.where(seen).withColumn("weight", F.lit(1.0)).unionByName(taken)
+
+
+def stratum_summary(rows: DataFrame, sample: DataFrame, strata: list[str]) -> DataFrame:
+    """Population, sampled and dropped rows of each stratum, and the least and largest weight in the sample."""
+    size = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("population"))
+    taken = sample.groupBy(*strata).agg(F.count(F.lit(1)).alias("_taken"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"))
+    same = F.lit(True)
+    for c in strata:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    joined = size.alias("a").join(taken.alias("b"), same, "left").select(*[F.col(f"a.{c}").alias(c) for c in strata], "population", F.coalesce("_taken", F.lit(0)).alias("sampled"), "min_weight", "max_weight")
+    return joined.withColumn("dropped", F.col("population") - F.col("sampled"))
+
+
+def top_of_each_sign(rows: DataFrame, value: str, key: str, n: int) -> DataFrame:
+    """The n rows of largest value above 0 (side high) and the n of smallest below 0 (side low), ranked; ties to the smaller key.
+
+    Each side is an ordered limit, of which every task sends n rows at most; only those are ranked.
+    """
+    out = []
+    for side, where, order in (("high", F.col(value) > 0, F.desc(value)), ("low", F.col(value) < 0, F.asc(value))):
+        some = rows.where(where).orderBy(order, key).limit(n).withColumn("side", F.lit(side))
+        out.append(some.withColumn("rank", F.row_number().over(Window.partitionBy("side").orderBy(order, key))))
+    return out[0].unionByName(out[1])
+
+
+def nearest_to_median(points: DataFrame, x: str, y: str, key: str, n: int) -> DataFrame:
+    """The n points nearest to the medians of x and y; ties to the smaller key."""
+    from gridlake.operators import ordered
+
+    middle = F.broadcast(ordered.percentiles(points, [], x, {"_mx": 0.5}).join(ordered.percentiles(points, [], y, {"_my": 0.5})))  # one row
+    far = points.join(middle).withColumn("distance", F.hypot(F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")))
+    return far.drop("_mx", "_my").orderBy("distance", key).limit(n)
+
+
+def by_priority(rows: DataFrame, buckets: list[tuple[str, Column]], score: str, key: str, cap: int) -> DataFrame:
+    """At most cap rows: by the first bucket that a row is in, then the larger score, then key. reasons: all its buckets."""
+    number = F.coalesce(*[F.when(condition, F.lit(i)) for i, (_, condition) in enumerate(buckets)])
+    reasons = F.concat_ws(";", *[F.when(condition, F.lit(name)) for name, condition in buckets])
+    named = F.get(F.array(*[F.lit(name) for name, _ in buckets]), F.col("_number"))
+    rows = rows.withColumn("_number", number).withColumn("reasons", reasons).where("_number IS NOT NULL")
+    return rows.withColumn("bucket", named).orderBy("_number", F.desc(score), key).limit(cap).drop("_number")

@@ -1,4 +1,4 @@
-"""Grid operators: neighbourhood windows, hexagon coordinates."""
+"""Grid operators: windows, hexagons, projection, nearest positives, connected components, blocks, lattices."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.functions import classify
+from gridlake.sources.tables import saved
+
 
 def neighbours(cells: DataFrame, value: str, reach: int = 1) -> DataFrame:
     """Each cell (row, col) with the sum of value over its square window. Every cell is sent to its window's cells and
@@ -18,9 +21,152 @@ def neighbours(cells: DataFrame, value: str, reach: int = 1) -> DataFrame:
 
 
 def hexagon(x: Column, y: Column, side: float) -> tuple[Column, Column]:
-    """Axial coordinates of the flat hexagon around a point, by cube rounding."""
+    """Axial coordinates of the flat hexagon around a point, by cube rounding (halves to even)."""
     q, r = x * (2.0 / 3) / side, (x * (-1.0 / 3) + y * (math.sqrt(3) / 3)) / side
     s = -q - r
-    rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(s + 0.5)
+    rq, rr, rs = F.rint(q), F.rint(r), F.rint(s)
     dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    return F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq), F.when((dq <= dr) | (dq <= ds), F.when(dr > ds, -rq - rs).otherwise(rr)).otherwise(rr)
+    whole_q = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
+    whole_r = F.when(~((dq > dr) & (dq > ds)) & (dr > ds), -rq - rs).otherwise(rr)
+    return whole_q.cast("long"), whole_r.cast("long")
+
+
+def hexagon_centre(q: Column, r: Column, side: float) -> tuple[Column, Column]:
+    return q * (1.5 * side), (r + q / 2) * (math.sqrt(3) * side)
+
+
+def hexagon_wkt(x: Column, y: Column, side: float) -> Column:
+    """The closed ring of a flat hexagon around its centre, to the millimetre."""
+    corners = [(side * math.cos(math.pi / 3 * k), side * math.sin(math.pi / 3 * k)) for k in (0, 1, 2, 3, 4, 5, 0)]
+    points = [F.format_string("%.3f %.3f", x + dx, y + dy) for dx, dy in corners]
+    return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *points), F.lit("))"))
+
+
+def utm(longitude: Column, latitude: Column, zone: int = 10) -> tuple[Column, Column]:
+    """Easting and northing in metres on the northern half of a UTM zone (WGS 84), by the third-order series in the
+    third flattening; good to a millimetre within some degrees of the central meridian."""
+    a, f, scale = 6378137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    sine, east = F.sin(F.radians(latitude)), F.radians(longitude - F.lit(6.0 * zone - 183))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(east)), F.atanh(F.sin(east) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, c in enumerate(alpha, 1):
+        x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return 500000 + scale * radius * x, scale * radius * y
+
+
+def context(cells: DataFrame, positive: str) -> DataFrame:
+    """Each cell (row, col, positive) with the positives in its 3 x 3 and 5 x 5 windows, their share of the cells there
+    that exist, and its edge and ring classes. Cells are sent to their windows' cells and summed there."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+    sent = cells.select("row", "col", F.col(positive).cast("int").alias("_p"), F.explode(steps).alias("s"))
+    i, j = F.col("s.i"), F.col("s.j")
+    near, own = (F.abs(i) <= 1) & (F.abs(j) <= 1), (i == 0) & (j == 0)
+    at = sent.select((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col"), "_p", near.alias("near"), own.alias("own"))
+    summed = at.groupBy("row", "col").agg(
+        F.max(F.when(F.col("own"), F.col("_p"))).alias("_p"), F.sum(F.when(F.col("near"), F.col("_p")).otherwise(0)).alias("count_3x3"),
+        F.count_if("near").alias("_kept3"), F.sum("_p").alias("count_5x5"), F.count(F.lit(1)).alias("_kept5"),
+    ).where("_p IS NOT NULL")
+    edge = classify.edge_class(F.col("_p") == 1, F.col("count_3x3"), F.col("count_5x5"))
+    return summed.select(
+        "row", "col", (F.col("_p") == 1).alias(positive), "count_3x3", (F.col("count_3x3") / F.col("_kept3")).alias("share_3x3"),
+        "count_5x5", (F.col("count_5x5") / F.col("_kept5")).alias("share_5x5"), edge.alias("edge_class"), classify.exterior_ring(edge).alias("ring_class"),
+    )
+
+
+def nearest_positive(cells: DataFrame, positives: DataFrame, first: int = 4) -> DataFrame:
+    """cells (row, col) with the Euclidean distance to the nearest of positives (row, col); null if there are none.
+
+    Rings: with blocks of r x r cells a positive within r stands in one of the nine blocks around a cell, so a distance up
+    to r that is found there is final. The other cells go on with blocks twice as large. From outside a block only the first
+    and last positives of its rows and columns can be nearest, so no more of them are met; in a cell's own block all are.
+    """
+    rest, there = saved(cells.select("row", "col").distinct(), "cells"), saved(positives.select("row", "col").distinct(), "positives")
+    ends = there.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if ends[0] is None:
+        return rest.withColumn("distance", F.lit(None).cast("double"))
+    spans = rest.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if spans[0] is None:
+        return rest.withColumn("distance", F.lit(None).cast("double"))
+    reach = math.hypot(max(ends[1], spans[1]) - min(ends[0], spans[0]), max(ends[3], spans[3]) - min(ends[2], spans[2]))
+    block = lambda c, r: F.floor(F.col(c) / r)
+    done, size = [], first
+    while True:
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        asked = rest.withColumn("s", around).select("row", "col", (block("row", size) + F.col("s.i")).alias("bi"), (block("col", size) + F.col("s.j")).alias("bj"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"))
+        held = there.select(block("row", size).alias("bi"), block("col", size).alias("bj"), F.col("row").alias("prow"), F.col("col").alias("pcol"))
+        ends = lambda of, c: held.groupBy("bi", "bj", of).agg(F.array(F.min(c), F.max(c)).alias("e")).select("bi", "bj", of, F.explode("e").alias(c))
+        rim = ends("prow", "pcol").unionByName(ends("pcol", "prow")).distinct()
+        met = asked.where("own").join(held, ["bi", "bj"]).unionByName(asked.where("NOT own").join(rim, ["bi", "bj"]), allowMissingColumns=True)
+        square = (F.col("row") - F.col("prow")) * (F.col("row") - F.col("prow")) + (F.col("col") - F.col("pcol")) * (F.col("col") - F.col("pcol"))
+        found = met.groupBy("row", "col").agg(F.sqrt(F.min(square).cast("double")).alias("distance"))
+        found = saved(rest.join(found, ["row", "col"], "left"), "nearest")
+        final = size >= reach
+        done.append(found if final else found.where(F.col("distance") <= size))
+        if final:
+            break
+        rest = found.where(F.col("distance").isNull() | (F.col("distance") > size)).select("row", "col")
+        if rest.isEmpty():
+            break
+        size *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def connected(cells: DataFrame, columns: int, cell_size: float = 30.0) -> DataFrame:
+    """8-connected components of cells (row, col) on a grid of so many columns: component (its first cell, row by row),
+    cells and area. Each round hooks components to their least neighbour and contracts the links between them."""
+    numbered = saved(cells.select((F.col("row") * columns + F.col("col")).alias("node"), "row", "col").distinct(), "cells")
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    links = numbered.select(F.col("node").alias("a"), "row", "col", ahead.alias("s")).select("a", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
+    edges = saved(links.join(numbered.select("row", "col", F.col("node").alias("b")), ["row", "col"]).select("a", "b"), "links")
+    labels = numbered.select("node", F.col("node").alias("component"))
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("top"))
+        hook = saved(hook, "hook")
+        parent = hook.select(F.col("node").alias("top"), F.col("top").alias("above"))
+        hook = saved(hook.join(parent, "top").select("node", F.col("above").alias("top")), "hook")
+        labels = saved(labels.join(hook.select(F.col("node").alias("component"), "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component")), "labels")
+        ends = hook.select(F.col("node").alias("a"), F.col("top").alias("x")), hook.select(F.col("node").alias("b"), F.col("top").alias("y"))
+        edges = saved(edges.join(ends[0], "a").join(ends[1], "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("cells"), F.min("node").alias("first_cell"))
+    sizes = sizes.withColumn("area", F.col("cells") * (cell_size * cell_size))
+    return numbered.join(labels, "node").join(sizes, "component").select("row", "col", F.col("first_cell").alias("component"), "cells", "area")
+
+
+def block_average(pixels: DataFrame, features: list[str], size: int = 3, complete: bool = False) -> DataFrame:
+    """Means of features over blocks of size x size pixels (row, col), and the pixels they rest on.
+
+    complete: a block counts only if all its pixels are there with all features; else known values are averaged.
+    """
+    full = classify.complete(*features)
+    blocks = pixels.groupBy(F.floor(F.col("row") / size).alias("row"), F.floor(F.col("col") / size).alias("col"))
+    out = blocks.agg(F.count_if(full).alias("valid_pixels"), *[F.avg(F.when(classify.known(F.col(f)), F.col(f))).alias(f) for f in features])
+    return out.where(F.col("valid_pixels") == size * size) if complete else out
+
+
+def in_window(row: Column, col: Column, window: tuple[int, int, int, int]) -> Column:
+    """Whether a cell is in the window (row, col, rows, columns); its ends are open. Plain comparisons reach the scan."""
+    return (row >= window[0]) & (row < window[0] + window[2]) & (col >= window[1]) & (col < window[1] + window[3])
+
+
+def snapped(points: DataFrame, x: str, y: str, resolution: float, tolerance: float) -> DataFrame:
+    """points with their lattice place (row, col), its rows and columns, and the distance to it.
+
+    The lattice starts at the smallest x and the largest y; its size follows from the span. A point further from its
+    place than tolerance stops the job.
+    """
+    ends = F.broadcast(points.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1")))  # one row
+    place = points.join(ends).withColumn("col", F.rint((F.col(x) - F.col("_x0")) / resolution).cast("long")).withColumn("row", F.rint((F.col("_y1") - F.col(y)) / resolution).cast("long"))
+    off = F.hypot(F.col(x) - F.col("_x0") - F.col("col") * resolution, F.col("_y1") - F.col(y) - F.col("row") * resolution)
+    size = lambda low, high: (F.rint((F.col(high) - F.col(low)) / resolution) + 1).cast("long")
+    refused = F.raise_error(F.concat(F.lit("a point is off the lattice by "), off.cast("string"))).cast("double")
+    return place.select(*points.columns, "row", "col", size("_y0", "_y1").alias("lattice_rows"), size("_x0", "_x1").alias("lattice_columns"), F.when(off > tolerance, refused).otherwise(off).alias("snap_distance"))

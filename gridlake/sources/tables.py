@@ -1,8 +1,12 @@
-"""Sources and sinks: pruned Parquet scans, CSV with a fixed header, partitioned Parquet."""
+"""Sources and sinks: pruned Parquet scans, CSV with a fixed header, partitioned Parquet, JSON manifests, shared tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,9 +16,13 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell-by-year rows made of lineitem: a cell on a grid of 100 columns, observed and predicted shares, a weight."""
+def observations(spark: SparkSession, sf_dir: str, stored: Column | None = None) -> DataFrame:
+    """Cell-by-year rows made of lineitem: a cell on a grid of 100 columns, observed and predicted shares, a weight.
+
+    stored: a condition on lineitem's own columns.
+    """
     rows = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
+    rows = rows if stored is None else rows.where(stored)
     return rows.select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("cell_id"),
         F.floor(F.col("l_partkey") / 100).alias("row"), F.pmod("l_partkey", F.lit(100)).alias("col"),
@@ -41,6 +49,42 @@ def write_parts(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
+def conform(df: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """df with exactly the columns and types of schema; a missing column is an error, further ones are dropped."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    absent = [f.name for f in schema if f.name not in df.columns]
+    if absent:
+        raise ValueError(f"columns are missing: {absent}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """A nested JSON document as one file in the folder path, on any store that Spark writes."""
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    found = spark.read.text(path, wholetext=True).first()
+    document = json.loads(found[0]) if found else None
+    if not isinstance(document, dict):
+        raise ValueError(f"no JSON object at {path}")
+    return document
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir, which all executors share, and read back: cuts lineage."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The latest row of each key by the order columns."""
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
