@@ -1,4 +1,4 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL; further ones are in the modules imported at the end."""
 
 from __future__ import annotations
 
@@ -6,38 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridlake.functions import classify
-from gridlake.operators import metrics, sampling, spatial
-from gridlake.sources.tables import OBSERVATIONS, latest, observations, scan
+from gridlake.operators import metrics, ordered, sampling, spatial
+from gridlake.plans.base import _METRICS, EDGES, FLAGSHIP, QUERIES, SPLITS, SQL, P, Y, query
+from gridlake.sources.tables import latest, observations, scan
 
-FLAGSHIP = "area_bias_by_year"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-SPLITS = {"train": [1992, 1993, 1994, 1995, 1996], "validation": [1997], "test": [1998]}
-EDGES = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-_METRICS = """count(*) AS n, round(avg(abs(predicted - observed)), 6) AS mae, round(sqrt(avg((predicted - observed) ** 2)), 6) AS rmse,
- round(1 - sum((predicted - observed) ** 2) / nullif(sum(observed ** 2) - sum(observed) * sum(observed) / count(*), 0), 6) AS r2,
- round(sum(observed), 4) AS observed_area, round(sum(predicted), 4) AS predicted_area, round((sum(predicted) - sum(observed)) / nullif(sum(observed), 0), 6) AS area_bias"""
-
-
-def Y():
-    return F.col("observed")
-
-
-def P():
-    return F.col("predicted")
-
-
-def query(name: str, sql: str):
-    def register(f):
-        QUERIES[name], SQL[name] = f, f"WITH {OBSERVATIONS} {sql}"
-        return f
-
-    return register
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 
 
 @query("scan_pushed_filter", "SELECT order_id, line, cell_id, observed FROM o WHERE year = 1995 AND source = 'R' AND observed >= 0.5")
 def _(spark, d):
-    return observations(spark, d).where("year = 1995 AND source = 'R' AND observed >= 0.5").select("order_id", "line", "cell_id", "observed")
+    # Written on the stored columns, so that all three conditions reach the Parquet scan.
+    stored = F.col("l_shipdate").between(F.lit("1995-01-01").cast("timestamp"), F.lit("1995-12-31 23:59:59.999999").cast("timestamp")) & (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 25)
+    return observations(spark, d, stored).select("order_id", "line", "cell_id", "observed")
 
 
 @query("area_bias_by_year", f"SELECT CAST(year AS VARCHAR) AS year, {_METRICS} FROM o GROUP BY o.year UNION ALL SELECT 'all', {_METRICS} FROM o")
@@ -125,11 +105,15 @@ def _yearly(spark, d):
     return observations(spark, d).groupBy("cell_id", "year").agg(F.sum("observed").alias("v"))
 
 
+def _with_previous(yearly):
+    """yearly with the value of the cell's year before: its previous row, if that is of the year before."""
+    last = Window.partitionBy("cell_id").orderBy("year")
+    return yearly.withColumn("before", F.when(F.lag("year").over(last) == F.col("year") - 1, F.lag("v").over(last)))
+
+
 @query("previous_year_persistence", _YEARLY + " SELECT c.year, count(*) AS n, count(p.v) AS with_previous, round(avg(abs(c.v - p.v)), 9) AS mae FROM c LEFT JOIN c p ON p.cell_id = c.cell_id AND p.year = c.year - 1 GROUP BY 1")
 def _(spark, d):
-    now = _yearly(spark, d)
-    before = now.select("cell_id", (F.col("year") + 1).alias("year"), F.col("v").alias("before"))
-    joined = now.join(before, ["cell_id", "year"], "left")
+    joined = _with_previous(_yearly(spark, d))
     return joined.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count("before").alias("with_previous"), F.round(F.avg(F.abs(F.col("v") - F.col("before"))), 9).alias("mae"))
 
 
@@ -158,11 +142,9 @@ def _(spark, d):
  FROM c LEFT JOIN c p ON p.cell_id = c.cell_id AND p.year = c.year - 1 GROUP BY 1""",
 )
 def _(spark, d):
-    now = _yearly(spark, d)
-    before = now.select("cell_id", (F.col("year") + 1).alias("year"), F.col("v").alias("before"))
     v, b = F.col("v") >= 0.5, F.coalesce("before", F.lit(0.0)) >= 0.5
     named = classify.chain([(v & b, "persistent"), (v, "new"), (b, "lost")], "low")
-    return now.join(before, ["cell_id", "year"], "left").groupBy(named.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return _with_previous(_yearly(spark, d)).groupBy(named.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("weighted_means", "SELECT source, year, round(sum(weight * observed) / sum(weight), 6) AS weighted_observed, round(sum(weight * predicted) / sum(weight), 6) AS weighted_predicted FROM o GROUP BY 1, 2")
@@ -173,8 +155,9 @@ def _(spark, d):
 
 @query("residual_percentiles", "SELECT year, round(quantile_cont(predicted - observed, 0.05), 6) AS p05, round(quantile_cont(predicted - observed, 0.5), 6) AS p50, round(quantile_cont(predicted - observed, 0.95), 6) AS p95 FROM o GROUP BY 1")
 def _(spark, d):
-    at = lambda q, name: F.round(F.percentile(P() - Y(), q), 6).alias(name)
-    return observations(spark, d).groupBy("year").agg(at(0.05, "p05"), at(0.5, "p50"), at(0.95, "p95"))
+    rows = observations(spark, d).select("year", (P() - Y()).alias("residual"))
+    found = ordered.percentiles(rows, ["year"], "residual", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return found.select("year", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")])
 
 
 @query("calibration_bins", "SELECT least(9, CAST(floor(predicted * 10) AS INT)) AS bin, count(*) AS n, round(avg(predicted), 6) AS mean_score, round(avg(CASE WHEN observed >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM o GROUP BY 1")
@@ -273,3 +256,6 @@ def _(spark, d):
 @query("expected_value_composition", "SELECT year, round(sum(predicted * observed), 4) AS expected, round(sum(CASE WHEN predicted >= 0.4 THEN observed ELSE 0 END), 4) AS gated FROM o GROUP BY 1")
 def _(spark, d):
     return observations(spark, d).groupBy("year").agg(F.round(F.sum(P() * Y()), 4).alias("expected"), F.round(F.sum(F.when(P() >= 0.4, Y()).otherwise(0)), 4).alias("gated"))
+
+
+from gridlake.plans import binary, diagnostics, grids, joins, labels, masks, model_plans  # noqa: E402, F401
