@@ -35,20 +35,35 @@ def test_query_equals_sql(spark, name):
     assert rows == sorted(map(repr, con.execute(f"SELECT {', '.join(columns)} FROM ({queries.SQL[name]})").fetchall()))
 
 
-@pytest.mark.parametrize(
-    "operator",
-    [
-        substring_dedup.remove_repeats,
-        ngram_join.jaccard_classes,
-        quality_rules.apply_rules,
-        license_scan.scan,
-        lambda d: toxicity.score(d, toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -5.0)),
-        lambda d: byte_bpe.encode(d, _path("byte_bpe_50k.tiktoken"), _pattern()),
-        lambda d: token_counts.count(d, _path("piece_bpe_32k.model")),
-    ],
-)
-def test_odd_rows_and_empty_tables(spark, operator):
-    assert operator(docs(spark, ODD)).count() == len(ODD)
+def _plain_model():
+    return toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -5.0)
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: Each operator with what it says of ODD, by (doc_id, text).
+ODD_RESULTS = {
+    "substring_dedup": (lambda d: substring_dedup.remove_repeats(d).select("doc_id", "n_words", "n_removed", "kept_text"), [(1, 0, 0, ""), (2, 0, 0, ""), (None, 3, 0, "a lone row"), (3, 3, 0, "same text here"), (3, 3, 0, "same text here"), (4, 0, 0, "")]),
+    "ngram_join": (lambda d: ngram_join.jaccard_classes(d), [(1, 0, 1), (2, 0, 2), (None, 1, None), (3, 1, 3), (3, 1, 3), (4, 0, 4)]),
+    "quality_rules": (lambda d: quality_rules.apply_rules(d).select("doc_id", "n_words", "base_failed", "kept"), [(1, 0, True, False), (2, 0, True, False), (None, 3, True, False), (3, 3, True, False), (3, 3, True, False), (4, 0, True, False)]),
+    "license_scan": (lambda d: license_scan.scan(d).select("doc_id", "n_words", "n_base", "first_word", "labels", "score"), [(1, 0, 0, None, "", 0.0), (2, 0, 0, None, "", 0.0), (None, 3, 0, None, "", 0.0), (3, 3, 0, None, "", 0.0), (3, 3, 0, None, "", 0.0), (4, 0, 0, None, "", 0.0)]),
+    "toxicity": (lambda d: toxicity.score(d, _plain_model()).select("doc_id", "predicted", "offending"), [(1, 0, []), (2, 0, []), (None, 0, []), (3, 0, []), (3, 0, []), (4, 0, [])]),
+    "byte_bpe": (lambda d: byte_bpe.decode(byte_bpe.encode(d, _path("byte_bpe_50k.tiktoken"), _pattern()), _path("byte_bpe_50k.tiktoken")).selectExpr("doc_id", "cast(decoded AS string)"), [(d, t or "") for d, t, _, _ in ODD]),
+    "token_counts": (lambda d: token_counts.count(d, _path("piece_bpe_32k.model")).select("doc_id"), [(1,), (2,), (None,), (3,), (3,), (4,)]),
+    "packing": (lambda d: packing.pack(d, _path("word_bpe_49k.json")).select("doc_id", "start", "doc_tokens"), [(1, 0, 1), (2, 0, 1), (None, 0, 4), (3, 0, 4), (3, 0, 4), (4, 0, 1)]),
+    "keep_one": (lambda d: ngram_join.keep_one(d), [(1, None, "a", None), (2, "", "b", "x"), (None, "a lone row", "c", None), (3, "same text here", None, None), (4, " \n\t ", "d", None)]),
+    "reject": (lambda d: toxicity.reject(d, _plain_model()), ODD),
+    "keep": (lambda d: quality_rules.keep(d), []),
+}
+
+
+@pytest.mark.parametrize("name", ODD_RESULTS)
+def test_odd_rows_and_empty_tables(spark, name):
+    operator, want = ODD_RESULTS[name]
+    got = [tuple(r) for r in operator(docs(spark, ODD)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert operator(docs(spark, [])).count() == 0
 
 
@@ -64,7 +79,7 @@ def _pattern():
     return public_tokenizers.PATTERN
 
 
-def test_substring_dedup_against_brute_force(spark):
+def test_substring_dedup_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     passage = letters(rng, 45)
     texts = [letters(rng, 60) + " " + passage + " " + letters(rng, 10), passage, letters(rng, 200), "x " * 80, letters(rng, 34), passage + " tail", None]
@@ -77,7 +92,8 @@ def test_substring_dedup_against_brute_force(spark):
     for places in where.values():
         for d, i in places if len(places) > 1 else []:
             gone[d].update(range(i, i + 35))
-    for seed in (9, 18, 35):
+    for seed, limit in ((5, common.BROADCAST_BYTES), (5, -1), (9, -1), (18, common.BROADCAST_BYTES), (35, -1)):  # -1: joins shuffle
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
         got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs(spark, [(i, t, "", "") for i, t in enumerate(texts)]), seed=seed).collect()}
         for d, w in enumerate(words):
             assert got[d]["kept_text"] == " ".join(x for i, x in enumerate(w) if i not in gone[d])
@@ -106,8 +122,10 @@ def test_jaccard_classes_in_tiles_against_brute_force(spark, monkeypatch):
     least = {}
     for d in sets:
         least[find(d)] = min(d, least.get(find(d), d))
-    for run in (1, 12):
-        monkeypatch.setattr(ngram_join, "RUN", run)
+    for run, block, held, limit in ((1, 4096, 100_000, common.BROADCAST_BYTES), (1, 4, 100_000, -1), (12, 4096, 5, -1), (1, 7, 5, -1)):
+        for name, value in (("RUN", run), ("BLOCK", block), ("HELD", held)):
+            monkeypatch.setattr(ngram_join, name, value)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
         got = {r["doc_id"]: r for r in ngram_join.jaccard_classes(docs(spark, rows)).collect()}
         assert {d: r["component_id"] for d, r in got.items()} == {d: least[find(d)] for d in sets}
         assert {d: r["n_shingles"] for d, r in got.items()} == {d: len(s) for d, s in sets.items()}
@@ -146,25 +164,35 @@ def test_token_counts_equal_library():
 
     pieces = token_counts.vocabulary(_path("piece_bpe_32k.model"))
     counter, library = token_counts.Counter(pieces), Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
-    for text in ["the quick brown fox", "naïve 北京 🙂🙂", "a  b   c", "ééé ing tion", "x" * 50]:
+    rng = random.Random(9)
+    odd = ["the", "ing", " ", " ", "é", "北", "🙂", "x", "tion", "7", "\n", "\u00a0", "qz"]
+    fuzz = ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    for text in ["the quick brown fox", "naïve 北京 🙂🙂", "a  b   c", "ééé ing tion", "x" * 50, *fuzz]:
         marked = token_counts.MARK + text.replace(" ", token_counts.MARK)
         found = library.encode(marked)
         want = sum(len(marked[a:b].encode()) if i == 0 else 1 for i, (a, b) in zip(found.ids, found.offsets, strict=True))
         assert counter.text(text)[1] == want
+        for chunk in counter.chunks(text):  # one place after the other, without shared prefixes
+            assert counter.best(chunk) == pytest.approx(counter.known[chunk])
 
 
 def test_packing_holds_every_id_once(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(2)
+    odd = ["Ab", "é", "É", "e\u0301", "ß", "İ", "'s", "don't", ".", "?!", ",", ";", ":", "a,b", "7", "42x", "\n", "\t", "\u00a0", "\u2028", "中文", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "x" * 300, "\x00", "_", "naïve.", "Ǆ", "ﬁ"]
     rows = [(i, letters(rng, rng.choice([0, 1, 30, 900, 6000])), "", "") for i in range(60)] + [(99, None, "", "")]
+    rows += [(100 + i, "".join(rng.choice([*odd, " ", " "]) for _ in range(rng.randrange(60))), "", "") for i in range(600)]
     tokenizer = Tokenizer.from_file(_path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
     got = packing.pack(docs(spark, rows).coalesce(1), _path("word_bpe_49k.json")).collect()
     assert all(zlib.crc32(r["ids"]) >= 0 and len(r["ids"]) == 4 * r["length"] for r in got)
+    pieces_of = {}
+    for r in got:
+        pieces_of.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
     for d, text, _, _ in rows:
         want = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
-        mine = sorted((r["start"], r["ids"]) for r in got if r["doc_id"] == d)
-        assert b"".join(ids for _, ids in mine) == want
+        assert b"".join(ids for _, ids in sorted(pieces_of[d])) == want, text
     sequences = {}
     for r in got:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -221,12 +249,31 @@ def test_warc_long_head(spark):
     assert [w for _, w in warc.records(bytes([b]) for b in whole * 2)] == [whole, whole]
 
 
-def test_license_scan_finds_every_licence_of_a_file(spark):
-    bsd, apache = license_scan.TEMPLATES[1][1], "Licensed under the Apache License Version 2.0"
-    rows = [(0, f"{bsd}. {apache}", "", "")] + [(i, f"{apache} {i}", "", "") for i in range(1, 40)]
-    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows)).collect()}
-    assert got[0]["labels"] == "apache,apache-2.0,bsd-3-clause" and got[0]["score"] == 1.0
-    assert all(got[i]["labels"] == "apache,apache-2.0" for i in range(1, 40))
+def _licence(label):
+    return next(text for name, text, _ in license_scan.LICENSES if name == label)
+
+
+def test_license_scan_labels_planted_licences(spark):
+    filler = letters(random.Random(8), 200)
+    mit, apache, gpl3, bsd3 = map(_licence, ("mit", "apache-2.0", "gpl-3.0", "bsd-3-clause"))
+    want = {f"{filler} {text} {filler}": {label} for label, text, _ in license_scan.LICENSES}
+    want[f"{mit} {filler} {apache}"] = {"mit", "apache-2.0"}
+    want[f"{gpl3} {mit}"] = {"gpl-3.0", "mit"}
+    want[f"{bsd3} {mit}"] = {"bsd-3-clause", "mit"}
+    want[" ".join(text for _, text, _ in license_scan.LICENSES)] = {label for label, _, _ in license_scan.LICENSES}
+    want[" ".join(mit.split()[:40])] = {"mit"}  # cut, but the key phrases stand
+    veto = {" ".join(mit.split()[8:40]): "mit", mit.replace("without restriction", "freely"): "mit", filler: "mit", "permission is hereby granted free of charge without restriction": "apache-2.0"}
+    texts = [*want, *veto] + [f"{apache} {i}" for i in range(60)]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        labels = set(got[i]["labels"].split(","))
+        if text in want:
+            assert want[text] <= labels, (text[:80], labels)
+            assert got[i]["score"] > 0
+        elif text in veto:
+            assert veto[text] not in labels, (text[:80], labels)
+        else:
+            assert "apache-2.0" in labels and "mit" not in labels
 
 
 def test_toxicity_learns_and_locates(spark):
@@ -246,6 +293,76 @@ def test_toxicity_learns_and_locates(spark):
     assert all(any("grobian" in s for s in r["offending"]) for r in got if r["predicted"])
 
 
+def test_toxicity_learns_from_no_held_out_label(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.remainder(toxicity.F.col("doc_id")) == 2
+    turned = labels.withColumn("toxic", toxicity.F.when(held, 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
+    one, other = toxicity.train(table, labels), toxicity.train(table, turned)
+    assert one.bias == other.bias and (one.weights == other.weights).all()
+    got = queries.QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.01").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    got = [(labels[r["doc_id"]], r["predicted"]) for r in queries.QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").collect() if labels.get(r["doc_id"]) is not None]
+    hits = sum(a and b for a, b in got)
+    # Precision and recall of a fit on the few labels of this size; the README has those of a larger table.
+    assert hits >= 0.9 * sum(b for _, b in got) and hits >= 0.8 * sum(a for a, _ in got)
+
+
+def test_keep_one_with_reused_ids(spark):
+    rng = random.Random(11)
+    text, other = letters(rng, 80), letters(rng, 80)
+    near = text + " w0"
+    rows = [(5, text, "a", ""), (7, near, "b", ""), (7, other, "c", ""), (None, text, "d", ""), (9, other, "e", ""), (9, other, "f", ""), (11, None, "g", ""), (11, None, "h", "")]
+    got = ngram_join.keep_one(docs(spark, rows)).collect()
+    assert sorted(r["rid"] for r in got) == ["a", "c", "g", "h"]
+    assert len(ngram_join.keep_one(docs(spark, [(3, text, "a", ""), (3, text, "b", "")])).collect()) == 1
+
+
+def test_pipeline_equals_a_plain_version(spark):
+    """run() row by row: rules and classes by SQL, repeats in Python, ids by the library; the trained model is given."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    table = common.table(spark, SF, "documents")
+    model = toxicity.train(table, common.table(spark, SF, "labels"))
+    rejected = {r["doc_id"] for r in toxicity.score(table, model).collect() if r["predicted"]}
+    con = duckdb.connect()
+    kept = con.execute(f"SELECT * FROM '{SF}/documents.parquet'").df()
+    kept = kept[~kept["doc_id"].isin(rejected)]
+    assert 0 < len(rejected) < len(kept)
+    con.register("documents", kept)
+    good = con.execute(f"SELECT doc_id FROM ({queries.SQL['op7_quality_rules']}) WHERE kept").df()
+    kept = kept[kept["doc_id"].isin(good["doc_id"])]
+    con.register("documents", kept)
+    first = con.execute(f"SELECT doc_id FROM ({queries.SQL['op8_ngram_join']}) WHERE component_id = doc_id").df()
+    kept = kept[kept["doc_id"].isin(first["doc_id"])]
+    words = {d: (t or "").encode().split() for d, t in zip(kept["doc_id"], kept["text"], strict=True)}
+    where = {}
+    for d, w in words.items():
+        for i in range(len(w) - 34):
+            where.setdefault(tuple(w[i : i + 35]), []).append((d, i))
+    gone = {d: set() for d in words}
+    for places in where.values():
+        for d, i in places if len(places) > 1 else []:
+            gone[d].update(range(i, i + 35))
+    tokenizer = Tokenizer.from_file(_path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    got = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got.keys() == words.keys()
+    for d, w in words.items():
+        text = b" ".join(x for i, x in enumerate(w) if i not in gone[d]).decode()
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        for r in got[d]:
+            assert r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        assert sum(r["length"] for r in got[d]) == len(ids) and len({r["start"] for r in got[d]}) == len(got[d])
+
+
 def test_pipeline_keeps_clean_rows_and_columns(spark):
     import corpus_pipeline
 
