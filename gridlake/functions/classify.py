@@ -242,3 +242,16 @@ def bands(spec: str | list[str]) -> list[str]:
 
 def depth_label(value: float) -> str:
     return str(int(value)) if float(value).is_integer() else str(value).replace(".", "p")
+
+
+def feature_label_group(area: Column, full: float = 900.0) -> Column:
+    return chain([(area == 0, "zero"), (area >= full, "saturated_900"), (area >= 450, "high_canopy")], "positive_low_mid")
+
+
+# Context columns that a layer has, and what stands there where its table has none.
+CONTEXT_DEFAULTS = {"label_source": "unknown", "is_observed": False, "reason": "unknown", "depth_bin": "unknown", "mask_status": "unknown", "evaluation_scope": "unknown"}
+
+
+def context_columns(columns: list[str], named: dict[str, str]) -> dict[str, Column]:
+    """The context columns that a table with these columns lacks, by default values, and constant ones from named."""
+    return {c: F.lit(v) for c, v in CONTEXT_DEFAULTS.items() if c not in columns} | {c: F.lit(v) for c, v in named.items()}

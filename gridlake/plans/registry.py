@@ -81,7 +81,7 @@ def _(spark, d):
     cells = observations(spark, d).select("year", "source", "cell_id").distinct().withColumn("score", classify.sample_score(F.col("cell_id"), 7))
     size = cells.groupBy("year", "source").agg(F.count(F.lit(1)).alias("population"))
     first = cells.withColumn("k", F.row_number().over(Window.partitionBy("year", "source").orderBy("score", "cell_id"))).where("k <= 20")
-    return first.join(F.broadcast(size), ["year", "source"]).select("year", "source", "cell_id", F.round(F.col("population") / F.least("population", F.lit(20)), 6).alias("weight"))
+    return first.join(size, ["year", "source"]).select("year", "source", "cell_id", F.round(F.col("population") / F.least("population", F.lit(20)), 6).alias("weight"))
 
 
 @query(
@@ -258,4 +258,4 @@ def _(spark, d):
     return observations(spark, d).groupBy("year").agg(F.round(F.sum(P() * Y()), 4).alias("expected"), F.round(F.sum(F.when(P() >= 0.4, Y()).otherwise(0)), 4).alias("gated"))
 
 
-from gridlake.plans import binary, diagnostics, grids, joins, labels, masks, model_plans  # noqa: E402, F401
+from gridlake.plans import binary, comparisons, diagnostics, grids, joins, labels, masks, model_plans  # noqa: E402, F401
