@@ -94,12 +94,12 @@ def _(spark, d):
 
 @query(
     "sample_features",
-    _SAMPLE + " SELECT sm.year, sm.cell_id, sm.weight, count(*) AS n, round(avg(o.observed), 9) AS mean_observed, round(avg(o.predicted), 9) AS mean_predicted FROM sm JOIN o ON o.year = sm.year AND o.cell_id = sm.cell_id WHERE sm.depth_bin = '40_60m' GROUP BY 1, 2, 3",
+    _SAMPLE + " SELECT sm.year, sm.cell_id, sm.weight, count(*) AS n, round(avg(o.observed), 12) AS mean_observed, round(avg(o.predicted), 12) AS mean_predicted FROM sm JOIN o ON o.year = sm.year AND o.cell_id = sm.cell_id WHERE sm.depth_bin = '40_60m' GROUP BY 1, 2, 3",
 )
 def _(spark, d):
     chosen = _sample(_population(spark, d)).where("depth_bin = '40_60m'").select("year", "cell_id", "weight")
     joined = observations(spark, d).drop("weight").join(chosen, ["year", "cell_id"])
-    return joined.groupBy("year", "cell_id", "weight").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(Y()), 9).alias("mean_observed"), F.round(F.avg(P()), 9).alias("mean_predicted"))
+    return joined.groupBy("year", "cell_id", "weight").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(Y()), 12).alias("mean_observed"), F.round(F.avg(P()), 12).alias("mean_predicted"))
 
 
 @query(
