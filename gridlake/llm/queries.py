@@ -1,6 +1,18 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where SQL can."""
 
-from . import byte_bpe, graph_search, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import (
+    byte_bpe,
+    graph_search,
+    license_scan,
+    ngram_join,
+    packing,
+    quality_rules,
+    substring_dedup,
+    target_sampling,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 _MODULES = {
     "op1_substring_dedup": substring_dedup,
@@ -13,6 +25,7 @@ _MODULES = {
     "op8_ngram_join": ngram_join,
     "op9_toxicity": toxicity,
     "op10_license_scan": license_scan,
+    "op13_target_sampling": target_sampling,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}

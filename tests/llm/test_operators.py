@@ -27,7 +27,7 @@ def letters(rng, n, size=400):
 @pytest.mark.parametrize("name", queries.SQL)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
