@@ -4,6 +4,7 @@ from . import (
     byte_bpe,
     graph_search,
     license_scan,
+    merkle_manifest,
     ngram_join,
     packing,
     quality_rules,
@@ -25,6 +26,7 @@ _MODULES = {
     "op8_ngram_join": ngram_join,
     "op9_toxicity": toxicity,
     "op10_license_scan": license_scan,
+    "op11_merkle_manifest": merkle_manifest,
     "op13_target_sampling": target_sampling,
 }
 
