@@ -9,6 +9,7 @@ from . import (
     packing,
     quality_rules,
     substring_dedup,
+    suffix_dedup,
     target_sampling,
     token_counts,
     toxicity,
@@ -27,6 +28,7 @@ _MODULES = {
     "op9_toxicity": toxicity,
     "op10_license_scan": license_scan,
     "op11_merkle_manifest": merkle_manifest,
+    "op12_suffix_dedup": suffix_dedup,
     "op13_target_sampling": target_sampling,
 }
 
