@@ -371,10 +371,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, carr
     spans = windows.groupBy("rid").agg(F.collect_list(F.struct("pos", "n")).alias("found")).mapInArrow(_spans(window), "rid binary, spans binary")
     facts = spans.join(groups.select("rid", F.lit(True).alias("copied")), "rid", "full")
     facts = common.saved(facts.select("rid", F.coalesce("copied", F.lit(False)).alias("copied"), "spans"), "facts")
-    joined = common.sized_join(common.with_text_ids(docs, carry), facts, "rid", "left", _bytes("spans"))
-    given = joined.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "spans", *carry)
-    schema = T.StructType([*T.StructType.fromDDL(KEPT).fields, *[given.schema[c] for c in carry]])
-    return given.mapInArrow(_cut(window, carry), schema)
+    more = ("_carried",) if carry else ()
+    held = docs.select("doc_id", "text", *[F.struct(*carry).alias(c) for c in more])  # so that no name clashes
+    joined = common.sized_join(common.with_text_ids(held, more), facts, "rid", "left", _bytes("spans"))
+    given = joined.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "spans", *more)
+    schema = T.StructType([*T.StructType.fromDDL(KEPT).fields, *[given.schema[c] for c in more]])
+    out = given.mapInArrow(_cut(window, more), schema)
+    return out.select(*[f for f in out.columns if f not in more], *[f"{c}.*" for c in more])
 
 
 #: Texts are cut into parts with an overlap first, so that taking strings of them is quick.
