@@ -1,44 +1,69 @@
 """What needs an order over all rows of a group, without sorting a group in one task: running totals by value, exact
 percentiles, average ranks, areas under curves.
 
-Rows are first counted by distinct value (combined before the shuffle). The values of a group are then dealt to SLICES
-ranges of equal width; the slices' totals are few, so their running totals are cheap, and only the values of one slice
-are ordered together.
+Rows are first counted by distinct value (combined before the shuffle), so that a hot value is one row. Up to RANGE such
+rows in all are ordered as they are. More are dealt to ranges by splitters that Spark samples from them, whatever their
+distribution: within a range they are ordered together, and the ranges' totals, few for each group, are what came before.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 1024
+from gridlake.sources.tables import saved
+
+#: Distinct (keys, value) of a range at most.
+RANGE = 1 << 17
 
 
 def _same(keys: list[str]) -> Column:
     return functools.reduce(operator.and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
 
 
+def ranges(rows: DataFrame, order: list[str], most: int = RANGE) -> DataFrame:
+    """rows, saved, with _range: ascending numbers of ranges of the order, none of more than most rows.
+
+    Rows should be distinct in the order's columns: rows that are equal there stay together.
+    """
+    n, spread = rows.count(), 2  # splitters are sampled, so ranges are planned half as large
+    while True:
+        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(spread * n / most))
+        placed = saved(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+        largest = placed.groupBy("_range").count().agg(F.max("count")).first()[0] or 0
+        if largest <= most:
+            return placed
+        spread *= 2
+
+
 def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """A row for each distinct (keys, value): the sums over its rows, and before_<name> over the rows of smaller values.
 
-    Rows whose value is null or NaN are left out; null keys are keys like others.
+    Rows whose value is null or NaN are left out; null keys are keys like others, and infinite values are values.
     """
     names = list(sums)
-    per = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(*[x.alias(n) for n, x in sums.items()])
-    ends = per.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (SLICES - 1))).otherwise(0).cast("int")
-    per = per.alias("a").join(ends.alias("b"), _same(keys)).select(*[F.col(f"a.{c}").alias(c) for c in per.columns], at.alias("_slice"))
+    some = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    per = saved(some.groupBy(*keys, value).agg(*[x.alias(n) for n, x in sums.items()]), "values")
     smaller = Window.rowsBetween(Window.unboundedPreceding, -1)
-    slices = per.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in names])
-    order = smaller.partitionBy(*keys).orderBy("_slice")
-    slices = slices.select(*keys, "_slice", *[F.coalesce(F.sum(n).over(order), F.lit(0)).alias(f"_{n}") for n in names])
-    inside = smaller.partitionBy(*keys, "_slice").orderBy(value)
-    per = per.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
-    joined = per.alias("a").join(slices.alias("b"), _same([*keys, "_slice"]))
-    return joined.select(*[F.col(f"a.{c}").alias(c) for c in [*keys, value, *names]], *[(F.col(f"a._in_{n}") + F.col(f"b._{n}")).alias(f"before_{n}") for n in names])
+    before = lambda n, order: F.coalesce(F.sum(n).over(order), F.lit(0))
+    if per.count() <= RANGE:
+        inside = smaller.partitionBy(*keys).orderBy(value)
+        return per.select("*", *[before(n, inside).alias(f"before_{n}") for n in names])
+    placed = ranges(per, [*keys, value])
+    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in names])
+    order = smaller.partitionBy(*keys).orderBy("_range")
+    earlier = totals.select(*keys, "_range", *[before(n, order).alias(f"_{n}") for n in names])
+    inside = smaller.partitionBy("_range", *keys).orderBy(value)
+    placed = placed.select("*", *[before(n, inside).alias(f"_in_{n}") for n in names])
+    joined = placed.alias("a").join(earlier.alias("b"), _same([*keys, "_range"]))
+    return joined.select(
+        *[F.col(f"a.{c}").alias(c) for c in [*keys, value, *names]],
+        *[(F.col(f"a._in_{n}") + F.col(f"b._{n}")).alias(f"before_{n}") for n in names],
+    )
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:

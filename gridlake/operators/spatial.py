@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions import classify
@@ -79,45 +81,93 @@ def context(cells: DataFrame, positive: str) -> DataFrame:
     )
 
 
-def nearest_positive(cells: DataFrame, positives: DataFrame, first: int = 4) -> DataFrame:
+#: Cells of a strip of rows at most (a single row is never cut), and its rows at most.
+STRIP_CELLS, STRIP_ROWS = 1 << 20, 256
+
+
+def _nearest_squares(at: np.ndarray, columns: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """For each column of at (sorted), the least (at - c) ** 2 + square over columns c (sorted) with their squares.
+
+    The lower envelope of parabolas: the best column never moves left as at grows, so the middle one of each open range
+    splits its columns in two; all ranges of a level are searched together.
+    """
+    best = np.full(len(at), -1)
+    low, high = np.zeros(1, np.int64), np.full(1, len(at) - 1)  # ranges of at
+    first, last = np.zeros(1, np.int64), np.full(1, len(columns) - 1)  # and of columns that may be best there
+    while len(low):
+        middle, size = (low + high) // 2, last - first + 1
+        begin = np.cumsum(size) - size
+        tried = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(first, size)
+        away = np.repeat(at[middle], size) - columns[tried]
+        cost = away * away + squares[tried]
+        least = np.minimum.reduceat(cost, begin)
+        here = np.flatnonzero(cost == np.repeat(least, size))
+        place = tried[here[np.searchsorted(here, begin)]]
+        best[middle] = least
+        left, right = low < middle, middle < high
+        low, high, first, last = (
+            np.r_[low[left], middle[right] + 1], np.r_[middle[left] - 1, high[right]],
+            np.r_[first[left], place[right]], np.r_[place[left], last[right]],
+        )
+    return best
+
+
+def _distances(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Distances of one strip's cells: known has its positives and the nearest ones above and below it in each column."""
+    names = ["row", "col"]
+    rows, cols = (asked.column(c).to_numpy() for c in names)
+    order = np.lexsort((cols, rows))
+    rows, cols = rows[order], cols[order]
+    distance = np.full(len(rows), np.nan)
+    if known.num_rows and len(rows):
+        prow, pcol = (known.column(c).to_numpy() for c in names)
+        top, height = rows[0], rows[-1] - rows[0] + 1
+        columns, at = np.unique(pcol, return_inverse=True)
+        far = np.int64(1) << 31
+        above, below = np.full((height, len(columns)), -far), np.full((height, len(columns)), far)
+        np.maximum.at(above, (np.clip(prow - top, 0, height - 1)[prow - top < height], at[prow - top < height]), (prow - top)[prow - top < height])
+        np.minimum.at(below, (np.clip(prow - top, 0, height - 1)[prow >= top], at[prow >= top]), (prow - top)[prow >= top])
+        above = np.maximum.accumulate(above, axis=0)
+        below = np.minimum.accumulate(below[::-1], axis=0)[::-1]
+        start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(rows)], strict=True):
+            line = rows[a] - top
+            vertical = np.minimum(line - above[line], below[line] - line)
+            seen = vertical < far // 2
+            distance[a:b] = np.sqrt(_nearest_squares(cols[a:b], columns[seen], (vertical * vertical)[seen]).astype(np.float64))
+    return pa.table([pa.array(rows), pa.array(cols), pa.array(distance, mask=np.isnan(distance))], ["row", "col", "distance"])
+
+
+def nearest_positive(cells: DataFrame, positives: DataFrame) -> DataFrame:
     """cells (row, col) with the Euclidean distance to the nearest of positives (row, col); null if there are none.
 
-    Rings: with blocks of r x r cells a positive within r stands in one of the nine blocks around a cell, so a distance up
-    to r that is found there is final. The other cells go on with blocks twice as large. From outside a block only the first
-    and last positives of its rows and columns can be nearest, so no more of them are met; in a cell's own block all are.
+    An exact distance transform of a raster in two passes. Down the columns, in SQL: each strip of rows that holds cells
+    is told, for each column with positives, the last one above it and the first one below. Along the rows, within a strip: the lower
+    envelope of the columns' parabolas. What moves is the cells, the positives and two numbers for each strip and
+    column; a task holds one strip. Rows and columns span less than 2 ** 30. Repeated cells count once.
     """
-    rest, there = saved(cells.select("row", "col").distinct(), "cells"), saved(positives.select("row", "col").distinct(), "positives")
-    ends = there.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
-    if ends[0] is None:
-        return rest.withColumn("distance", F.lit(None).cast("double"))
-    spans = rest.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
-    if spans[0] is None:
-        return rest.withColumn("distance", F.lit(None).cast("double"))
-    reach = math.hypot(max(ends[1], spans[1]) - min(ends[0], spans[0]), max(ends[3], spans[3]) - min(ends[2], spans[2]))
-    block = lambda c, r: F.floor(F.col(c) / r)
-    done, size = [], first
-    while True:
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        asked = rest.withColumn("s", around).select("row", "col", (block("row", size) + F.col("s.i")).alias("bi"), (block("col", size) + F.col("s.j")).alias("bj"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"))
-        held = there.select(block("row", size).alias("bi"), block("col", size).alias("bj"), F.col("row").alias("prow"), F.col("col").alias("pcol"))
-        ends = lambda of, c: held.groupBy("bi", "bj", of).agg(F.array(F.min(c), F.max(c)).alias("e")).select("bi", "bj", of, F.explode("e").alias(c))
-        rim = ends("prow", "pcol").unionByName(ends("pcol", "prow")).distinct()
-        met = asked.where("own").join(held, ["bi", "bj"]).unionByName(asked.where("NOT own").join(rim, ["bi", "bj"]), allowMissingColumns=True)
-        square = (F.col("row") - F.col("prow")) * (F.col("row") - F.col("prow")) + (F.col("col") - F.col("pcol")) * (F.col("col") - F.col("pcol"))
-        found = met.groupBy("row", "col").agg(F.sqrt(F.min(square).cast("double")).alias("distance"))
-        found = saved(rest.join(found, ["row", "col"], "left"), "nearest")
-        final = size >= reach
-        done.append(found if final else found.where(F.col("distance") <= size))
-        if final:
-            break
-        rest = found.where(F.col("distance").isNull() | (F.col("distance") > size)).select("row", "col")
-        if rest.isEmpty():
-            break
-        size *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    asked = saved(cells.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct(), "cells")
+    there = saved(positives.select(F.col("row").cast("long"), F.col("col").cast("long")).distinct(), "positives")
+    ends = asked.select("col").unionByName(there.select("col")).agg(F.min("col"), F.max("col")).first()
+    width = 1 if ends[0] is None else ends[1] - ends[0] + 1
+    height = max(1, min(STRIP_ROWS, STRIP_CELLS // width))
+    strip = F.floor(F.col("row") / height).alias("strip")
+    every = asked.select(strip).unionByName(there.select(strip)).distinct()
+    numbered = saved(every.select("strip", F.row_number().over(Window.orderBy("strip")).alias("n")), "strips")  # a row a strip
+    spans = there.groupBy(strip, "col").agg(F.min("row").alias("first"), F.max("row").alias("last")).join(numbered, "strip")
+    column = Window.partitionBy("col").orderBy("n")
+    spans = spans.select("col", "n", "first", "last", F.lead("n").over(column).alias("next"), F.lag("n").over(column).alias("before"))
+
+    def told(row: str, low: Column, high: Column) -> DataFrame:
+        """The columns' nearest positives (row) for the strips numbered low to high."""
+        each = spans.where(low <= high).select("col", F.col(row).alias("row"), F.explode(F.sequence(low, high)).alias("n"))
+        return each.join(numbered, "n").select("strip", "row", "col")
+
+    above = told("last", F.col("n") + 1, F.coalesce("next", F.lit(numbered.count())).cast("int"))
+    below = told("first", F.coalesce("before", F.lit(1)), F.col("n") - 1)
+    known = there.select(strip, "row", "col").unionByName(above).unionByName(below)
+    both = asked.withColumn("strip", strip).groupBy("strip").cogroup(known.groupBy("strip"))
+    return both.applyInArrow(_distances, "row long, col long, distance double")
 
 
 def connected(cells: DataFrame, columns: int, cell_size: float = 30.0) -> DataFrame:

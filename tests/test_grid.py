@@ -287,3 +287,33 @@ def test_merged_summaries(spark):
     parts = spark.createDataFrame([("x", 2, 1.0, 3.0), ("x", 6, 2.0, 1.0)], "k string, n long, m double, r double")
     got = metrics.combined(parts, ["k"], "n", ["m"], ["r"]).first()
     assert (got["n"], got["m"], got["r"]) == (8, 1.75, math.sqrt(3.0))
+
+
+def test_ranges_hold_outliers_infinities_a_hot_value_and_no_keys(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE", 100)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random(1500), [1e9, -1e300, np.inf, -np.inf, np.nan], np.full(3000, 0.25)])
+    table = spark.createDataFrame([(float(v), bool(i % 3)) for i, v in enumerate(x)] + [(None, True)], "x double, y boolean")
+    placed = ordered.ranges(table.select("x").distinct().dropna(), ["x"], 100)
+    assert placed.groupBy("_range").count().agg(F.max("count")).first()[0] <= 100
+    known = x[~np.isnan(x)]
+    got = ordered.percentiles(table, [], "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).first()
+    assert list(got) == pytest.approx([np.percentile(known, q) for q in (10, 50, 90)])
+    ranks = {r["x"]: r["rank"] for r in ordered.average_ranks(table, [], "x").collect()}
+    assert ranks[0.25] == np.mean(np.flatnonzero(np.sort(known) == 0.25) + 1) and ranks[-np.inf] == 1 and ranks[np.inf] == len(known)
+    keyed = table.withColumn("k", F.when(F.col("x") > 0.5, "a"))
+    halves = {r["k"]: r["m"] for r in ordered.percentiles(keyed, ["k"], "x", {"m": 0.5}).collect()}
+    assert halves == {"a": pytest.approx(np.median(known[known > 0.5])), None: pytest.approx(np.median(known[known <= 0.5]))}
+
+
+def test_nearest_positive_of_a_dense_raster_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "STRIP_ROWS", 5)
+    rng = np.random.default_rng(2)
+    found = rng.random((60, 45)) < 0.01
+    cells = spark.createDataFrame([(r - 20, c - 10, bool(found[r, c])) for r in range(60) for c in range(45)], "row int, col int, y boolean")
+    got = {(r["row"], r["col"]): r["distance"] for r in spatial.nearest_positive(cells.unionByName(cells), cells.where("y")).collect()}
+    hits = np.argwhere(found)
+    assert len(got) == 2700
+    for r in range(60):
+        for c in range(45):
+            assert got[r - 20, c - 10] == pytest.approx(np.hypot(hits[:, 0] - r, hits[:, 1] - c).min())
