@@ -258,4 +258,14 @@ def _(spark, d):
     return observations(spark, d).groupBy("year").agg(F.round(F.sum(P() * Y()), 4).alias("expected"), F.round(F.sum(F.when(P() >= 0.4, Y()).otherwise(0)), 4).alias("gated"))
 
 
-from gridlake.plans import binary, comparisons, diagnostics, grids, joins, labels, masks, model_plans  # noqa: E402, F401
+from gridlake.plans import (  # noqa: E402, F401
+    binary,
+    comparisons,
+    diagnostics,
+    grids,
+    joins,
+    labels,
+    masks,
+    model_plans,
+    place_joins,
+)

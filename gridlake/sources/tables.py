@@ -49,6 +49,22 @@ def write_parts(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
+def replace_parts(df: DataFrame, path: str, *partitions: str) -> None:
+    """Write df by partitions at path: partitions that df has rows of are replaced, the others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """What is at path. Conditions on the partition columns choose folders before any file is opened, and so do joins
+    with filtered small tables on them."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new folder in the one of spark.checkpoint.dir, which all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def conform(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """df with exactly the columns and types of schema; a missing column is an error, further ones are dropped."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -71,18 +87,22 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return document
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, which all executors share, and read back: cuts lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where unset, a new local one if Spark is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir, which all executors share, and read back: cuts lineage."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
