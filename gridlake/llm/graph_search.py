@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Classes of a shard (on average): as many as give each core a shard, within these bounds.
-LEAST_ROWS, MOST_ROWS = 4096, 65536
+#: Classes of a shard on average, whatever the machine: the beams below suit this size.
+SHARD_ROWS = 8192
 #: Queries that search a shard together. A shard's graph moves once for each block, so a block's vectors are about as
 #: many bytes as the graph: what moves is in proportion to the queries that each shard has to see.
 QUERY_BLOCK = 65536
@@ -154,12 +154,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("vector") == (length["n"] if length else -1))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int | None = None, width: int = SEARCH_BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS, width: int = SEARCH_BEAM) -> DataFrame:
     """The k nearest found of each query row, by largest inner product.
 
     vectors: vec_id, embedding; other columns are ignored. is_query: condition on vec_id. shard_rows: classes of a
-    shard; by default a shard a core, within bounds. Returns query_id, rank, vec_id
-    and score (double precision, on the given vectors), ties to the smaller vec_id; a query is not its own neighbour, its
+    shard on average; larger shards want wider beams. Returns query_id, rank, vec_id and score (double precision, on the given vectors), ties to the smaller vec_id; a query is not its own neighbour, its
     copies are. Rows with a null vec_id, vectors null, zero, holding null or non-finite components, or of another
     length than most take no part; of rows with one vec_id and one vector one counts; empty tables give empty ones.
     """
@@ -168,10 +167,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int | None =
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = ranked.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     classes = common.saved(classes.select(F.col("members")[0].alias("class_id"), "vector", "members"), "classes")
-    n_classes = classes.count()
-    if shard_rows is None:
-        shard_rows = min(MOST_ROWS, max(LEAST_ROWS, math.ceil(n_classes / vectors.sparkSession.sparkContext.defaultParallelism)))
-    n_shards = max(1, math.ceil(n_classes / shard_rows))
+    n_shards = max(1, math.ceil(classes.count() / shard_rows))
     shards = classes.select(F.pmod(F.xxhash64("class_id"), F.lit(n_shards)).cast("int").alias("shard"), "class_id", "vector")
     index = common.saved(shards.groupBy("shard").applyInPandas(_build, "shard int, ids binary, vectors binary, graph binary, entry int"), "graphs")
 
