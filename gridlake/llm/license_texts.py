@@ -44,6 +44,8 @@ LICENSES = (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
         ("gnu general public license", "version 3"),
     ),
+    ("gpl-2.0", "Licensed under the GNU General Public License, version 2.", ("gnu general public license", "version 2")),
+    ("gpl-3.0", "Licensed under the GNU General Public License, version 3.", ("gnu general public license", "version 3")),
     (
         "isc",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",

@@ -228,6 +228,37 @@ def test_graph_search_recall(spark):
     assert graph_search.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), "true").count() == 0
 
 
+def test_graph_search_on_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (60, 4)).astype(float)  # many ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist())] * 2 + [(None, x[4].tolist())]
+    rows += [(100, None), (101, [0.0] * 4), (102, [1.0, None, 0.0, 0.0]), (103, [float("inf"), 0.0, 0.0, 0.0]), (104, [float("nan")] * 4), (105, [1.0] * 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids = [i for i in range(60) if x[i].any()]
+    for size in (7, 8192):
+        got = {}
+        for r in graph_search.nearest(table, "vec_id % 20 = 0", shard_rows=size).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        for q in (i for i in (0, 20, 40) if i in ids):
+            want = sorted(((-float(x[q] @ x[i]), i) for i in ids if i != q))[:20]
+            assert got[q] == [(i, -s) for s, i in want]
+        assert got.keys() <= {0, 20, 40}
+
+
+def test_graph_search_recall_in_one_whole_shard_of_clusters(spark):
+    rng = np.random.default_rng(6)
+    n = graph_search.SHARD_ROWS
+    x = (rng.normal(size=(60, 64))[rng.integers(0, 60, n)] + 0.3 * rng.normal(size=(n, 64))).astype(np.float32)
+    flat = graph_search.equal_norms(x.astype(np.float64))
+    graph, entry = graph_search.build_graph(flat)
+    asked = x[:200].astype(np.float64)
+    found, _ = graph_search.beam_search(flat, graph, np.c_[asked, np.zeros(200)].astype(np.float32), entry, graph_search.SEARCH_BEAM)
+    score = np.where(found < 0, -np.inf, np.einsum("bkd,bd->bk", x[found].astype(np.float64), asked))
+    mine = np.take_along_axis(found, np.argsort(-score, axis=1)[:, :21], 1)
+    true = np.argsort(-(asked @ x.T.astype(np.float64)), axis=1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(mine.tolist(), true.tolist(), strict=True)]) >= 0.95
+
+
 def test_warc_round_trip(spark):
     long = "é" * 700
     rows = [(1, "http://a b", long), (2, None, long), (None, "u", long), (3, "u", None), (4, "u", "short"), (5, "u", "short")]
@@ -276,6 +307,21 @@ def test_license_scan_labels_planted_licences(spark):
             assert "apache-2.0" in labels and "mit" not in labels
 
 
+def test_license_scan_gives_no_licence_for_scattered_phrases(spark):
+    gap = letters(random.Random(9), 300)
+    texts = [
+        f"we read the GNU General Public License aloud {gap} python version 2 only",
+        f"the Apache License and software {gap} version 2 0 of the book",
+        "eclipse public license is discussed here",
+        f"permission is hereby granted free of charge {gap} without restriction to any person",
+    ]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "gpl", 1: "apache", 2: "", 3: ""}
+    gpl = _licence("gpl-2.0").split()
+    shifted = " ".join([*gpl[:25], "hello", "there", *gpl[25:]])  # words put in
+    assert "gpl-2.0" in license_scan.scan(docs(spark, [(1, shifted, "", "")])).first()["labels"]
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = random.Random(6)
     rows, labels = [], []
