@@ -262,10 +262,12 @@ from gridlake.plans import (  # noqa: E402, F401
     binary,
     comparisons,
     diagnostics,
+    family_tables,
     grids,
     joins,
     labels,
     masks,
     model_plans,
     place_joins,
+    stored,
 )

@@ -16,14 +16,23 @@ def scan(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def observations(spark: SparkSession, sf_dir: str, stored: Column | None = None) -> DataFrame:
-    """Cell-by-year rows made of lineitem: a cell on a grid of 100 columns, observed and predicted shares, a weight.
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files, whether it is one file or a folder of them (streams are read from folders)."""
+    stored = scan(spark, sf_dir, name)
+    file = f"{name}.parquet"
+    reader = spark.readStream.schema(stored.schema)
+    if any(f.endswith(f"/{file}") for f in stored.inputFiles()):
+        return reader.option("pathGlobFilter", file).parquet(sf_dir)
+    return reader.parquet(f"{sf_dir}/{file}")
+
+
+#: The columns of lineitem that observations are made of.
+LINEITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
+
 
-    stored: a condition on lineitem's own columns.
-    """
-    rows = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
-    rows = rows if stored is None else rows.where(stored)
-    return rows.select(
+def observed_rows(lineitem: DataFrame) -> DataFrame:
+    """Cell-by-year rows made of lineitem: a cell on a grid of 100 columns, observed and predicted shares, a weight."""
+    return lineitem.select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("cell_id"),
         F.floor(F.col("l_partkey") / 100).alias("row"), F.pmod("l_partkey", F.lit(100)).alias("col"),
         F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"), F.col("l_returnflag").alias("source"),
@@ -32,6 +41,12 @@ def observations(spark: SparkSession, sf_dir: str, stored: Column | None = None)
     )
 
 
+def observations(spark: SparkSession, sf_dir: str, stored: Column | None = None) -> DataFrame:
+    """observed_rows of the table lineitem. stored: a condition on lineitem's own columns."""
+    rows = scan(spark, sf_dir, "lineitem", *LINEITEM)
+    return observed_rows(rows if stored is None else rows.where(stored))
+
+
 #: The same rows in SQL.
 OBSERVATIONS = """o AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS cell_id, CAST(floor(l_partkey / 100.0) AS BIGINT) AS "row", l_partkey % 100 AS col,
  year(l_shipdate) AS year, quarter(l_shipdate) AS quarter, l_returnflag AS source, l_quantity / 50 AS observed, least(1.0::DOUBLE, l_extendedprice / 100000) AS predicted, 1.0::DOUBLE + l_linenumber AS weight FROM lineitem)"""
