@@ -17,7 +17,7 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], required: Col
     once = once.withColumn("_known", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("two rows of one key: "), told)).cast("boolean")).otherwise(True)).drop("_n")
     wanted = F.lit(True) if required is None else F.coalesce(required, F.lit(False))
     absent = F.raise_error(F.concat(F.lit("no row for key: "), told)).cast("boolean")
-    joined = left.join(once, keys, "left").withColumn("_ok", F.when(F.col("_known").isNull() & wanted, absent).otherwise(True))
+    joined = left.join(once, keys, "left").withColumn("_ok", F.when(F.col("_known").isNull() & wanted, absent).otherwise(F.coalesce("_known", F.lit(True))))
     return joined.where("_ok").drop("_ok", "_known")
 
 

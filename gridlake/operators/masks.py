@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.functions import classify
+from gridlake.operators import splits
 
 # Codes of the mask's reasons.
 MISSING, COAST, LAND, DEEP = "qa_missing_crm", "retained_ambiguous_coast", "dropped_definite_land", "dropped_deep_water"
@@ -66,6 +67,8 @@ def depth_summary(mask: DataFrame, positives: DataFrame, key: str) -> DataFrame:
 
 
 def attach_split(rows: DataFrame, manifest: DataFrame, keys: list[str], year_splits: dict[str, list[int]]) -> DataFrame:
-    """rows with split and used from the manifest's row of the same keys; without one, by year, and used."""
-    found = rows.join(manifest.select(*keys, F.col("split").alias("_split"), F.col("used").alias("_used")), keys, "left")
-    return found.withColumn("split", F.coalesce("_split", classify.split_of_year(F.col("year"), year_splits))).withColumn("used", F.coalesce("_used", F.lit(True))).drop("_split", "_used")
+    """rows with split and used from the manifest's row of the same keys; without one, by year, and used. Exact copies in
+    the manifest count once, two different rows of one key stop the job. A year of no split has none; splits.attach, which
+    this calls, can refuse it and rows that the manifest lacks."""
+    given = manifest.select(*keys, "split", "used")
+    return splits.attach(rows, given, [keys], year_splits, allow_missing=True, any_year=True).drop("drop_reason")

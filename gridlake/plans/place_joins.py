@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridlake.operators import places
+from gridlake.operators import places, spatial
 from gridlake.plans.base import query
 from gridlake.sources.tables import scan
 
@@ -152,3 +152,14 @@ def _(spark, d):
     at = F.col("c_custkey")
     points = scan(spark, d, "customer", "c_custkey").select(at.alias("id"), (at % 1600 + 0.3).alias("px"), (at * 7 % 5000 + 0.1).alias("py"))
     return places.sampled_irregular(points, "px", "py", grid).select("id", "grid_x", "grid_y", "value")
+
+
+@query("unprojected_points", """
+SELECT c_custkey AS id, round(-125 + c_custkey % 401 * 0.01::DOUBLE, 8) AS longitude, round(31 + c_custkey % 1103 * 0.01::DOUBLE, 8) AS latitude FROM customer""")
+def _(spark, d):
+    """Points projected and brought back: what remains is below a millimetre, some 1e-8 degrees."""
+    key = F.col("c_custkey")
+    points = scan(spark, d, "customer", "c_custkey").select(key.alias("id"), (-125 + key % 401 * 0.01).alias("lon"), (31 + key % 1103 * 0.01).alias("lat"))
+    east, north = spatial.utm(F.col("lon"), F.col("lat"))
+    lon, lat = spatial.utm_inverse(F.col("east"), F.col("north"))
+    return points.select("id", east.alias("east"), north.alias("north")).select("id", F.round(lon, 8).alias("longitude"), F.round(lat, 8).alias("latitude"))

@@ -269,5 +269,6 @@ from gridlake.plans import (  # noqa: E402, F401
     masks,
     model_plans,
     place_joins,
+    split_plans,
     stored,
 )

@@ -84,8 +84,8 @@ def _(spark, d):
     write_parts(rows, path, "year", "source")
     replace_parts(rows.where("year = 1995 AND observed >= 0.5"), path, "year", "source")
     # The years are known only from a table, so their folders are chosen when that has been read.
-    years = saved(spark.range(1995, 2000).select(F.col("id").cast("int").alias("year"), (F.col("id") < 1997).alias("wanted")), "years")
-    found = read_parts(spark, path, _STORED).where("source <> 'N'").join(F.broadcast(years.where("wanted")), "year")  # five rows
+    years = saved(spark.range(1995, 2000).select(F.col("id").cast("int").alias("year"), (F.col("id") < 1997).cast("int").alias("wanted")), "years")
+    found = read_parts(spark, path, _STORED).where("source <> 'N'").join(F.broadcast(years.where("wanted = 1")), "year")  # five rows
     return found.groupBy("year", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("observed"), 4).alias("observed"), F.min("cell_id").alias("first_cell"))
 
 
