@@ -20,7 +20,7 @@ from .word_ids import parts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 500_000
+CACHE_BYTES = 64 << 20
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LOADED: dict[str, tuple] = {}
 
@@ -48,6 +48,7 @@ class Counter:
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
         self.crossing = any(MARK in piece.lstrip(MARK) for piece, _ in pieces)
         self.known: dict[str, tuple[float, int]] = {}
+        self.held = 0
 
     def best(self, chunk: str) -> tuple[float, int]:
         n = len(chunk)
@@ -107,9 +108,10 @@ class Counter:
         cut = [self.chunks(text) for text in texts]
         every = set().union(*cut)
         new = [chunk for chunk in every if chunk not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list(every)
+        if self.held + _memory(new) > CACHE_BYTES:
+            self.known, self.held, new = {}, 0, list(every)
         self.learn(new)
+        self.held += _memory(new)
         out = []
         for chunks in cut:
             score = pieces = 0
@@ -123,6 +125,11 @@ class Counter:
         return self.texts([text])[0]
 
 
+def _memory(chunks: list[str]) -> int:
+    """Bytes that remembered chunks take, about: the text, and an entry with its numbers."""
+    return 4 * sum(map(len, chunks)) + 300 * len(chunks)
+
+
 def count(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens and score (of the best segmentation) of every whole text.
 
@@ -131,6 +138,7 @@ def count(docs: DataFrame, model: str) -> DataFrame:
     repeated doc_ids are rows like others; an empty table gives an empty one.
     """
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _LOADED:
             _LOADED[model] = Counter(vocabulary(model))
