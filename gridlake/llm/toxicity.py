@@ -76,9 +76,19 @@ class Model:
         return self.bias + np.bincount(sentence, self.weights[feature], n)
 
 
+def gradient(w, b, feature, sentence, doc_of_sentence, labels, weights, decay) -> tuple[np.ndarray, float]:
+    """Of the mean weighted negative log-likelihood of noisy-or documents, with the penalty on w, by w and b."""
+    z = b + np.bincount(sentence, w[feature], len(doc_of_sentence))
+    s = np.maximum(np.bincount(doc_of_sentence, np.logaddexp(0, z), len(labels)), 1e-12)
+    total = weights.sum()
+    slope = weights * np.where(labels == 1, -1 / np.expm1(np.minimum(s, 500)), 1.0) / total
+    dz = slope[doc_of_sentence] * _sigmoid(z)
+    return np.bincount(feature, dz[sentence], len(w)) + decay * len(labels) / total * w, dz.sum()
+
+
 def fit(feature, sentence, doc_of_sentence, labels, weights, steps: int = STEPS, least_docs: int = 5, decay: float = DECAY) -> Model:
     """Noisy-or maximum likelihood by Adam on the whole sample; words of fewer than least_docs documents are left out."""
-    size, n_sentences, n_docs = 1 << BITS, len(doc_of_sentence), len(labels)
+    size = 1 << BITS
     pairs = doc_of_sentence[sentence].astype(np.int64)
     pairs <<= BITS
     pairs |= feature
@@ -97,14 +107,8 @@ def fit(feature, sentence, doc_of_sentence, labels, weights, steps: int = STEPS,
     feature = number[feature]
     w, b = np.zeros(len(ids)), -5.0
     m, v, mb, vb = np.zeros(len(ids)), np.zeros(len(ids)), 0.0, 0.0
-    total = weights.sum()
     for step in range(1, steps + 1):
-        z = b + np.bincount(sentence, w[feature], n_sentences)
-        soft = np.logaddexp(0, z)
-        s = np.maximum(np.bincount(doc_of_sentence, soft, n_docs), 1e-12)
-        slope = weights * np.where(labels == 1, -1 / np.expm1(np.minimum(s, 500)), 1.0) / total
-        dz = slope[doc_of_sentence] * _sigmoid(z)
-        g, gb = np.bincount(feature, dz[sentence], len(ids)) + decay * len(labels) / total * w, dz.sum()
+        g, gb = gradient(w, b, feature, sentence, doc_of_sentence, labels, weights, decay)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate, c1, c2 = 0.1, 1 - 0.9**step, 1 - 0.999**step
@@ -195,7 +199,9 @@ def _scored(model: Model, threshold: float, locate: bool = True):
                 feature, sentence, starts, ends, doc = sentence_words(data, offsets)
                 z = model.sentences(feature, sentence, len(doc))
                 score = -np.expm1(-np.bincount(doc, np.logaddexp(0, z), hi - lo))
-                bad = np.flatnonzero((score[doc] >= threshold) & (_sigmoid(z) >= threshold / 2)) if locate and len(doc) else []
+                worst = np.full(hi - lo, -np.inf)
+                np.maximum.at(worst, doc, z)
+                bad = np.flatnonzero((score[doc] >= threshold) & ((_sigmoid(z) >= threshold / 2) | (z == worst[doc]))) if locate and len(doc) else []
                 found: list[list[str]] = [[] for _ in range(hi - lo)]
                 for i in bad:
                     found[doc[i]].append(data[starts[i] : ends[i]].tobytes().decode())
@@ -208,7 +214,8 @@ def _scored(model: Model, threshold: float, locate: bool = True):
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 from threshold) and offending (sentences that make it so) of every text.
+    """doc_id, score (0 to 1), predicted (1 from threshold) and offending of every text: of a predicted one the sentences
+    that alone reach half the threshold, and the highest scored one in any case.
 
     docs: doc_id, text; other columns are ignored. Null and empty texts have no sentence and score 0; null and
     repeated doc_ids are rows like others; texts of any length are scored whole; an empty table gives an empty one.

@@ -339,6 +339,54 @@ def test_toxicity_learns_and_locates(spark):
     assert all(any("grobian" in s for s in r["offending"]) for r in got if r["predicted"])
 
 
+def test_toxicity_gradient_is_that_of_the_plain_likelihood():
+    rng = np.random.default_rng(7)
+    n_docs, n_words = 12, 6
+    doc = np.sort(rng.integers(0, n_docs, 30))
+    pairs = [(s, f) for s in range(30) for f in range(n_words) if rng.random() < 0.4]
+    sentence, feature = (np.array(x) for x in zip(*pairs, strict=True))
+    labels, weights = rng.integers(0, 2, n_docs), rng.uniform(0.5, 2, n_docs)
+
+    def loss(w, b):
+        total = 0.0
+        for d in range(n_docs):
+            clean = 1.0
+            for s in np.flatnonzero(doc == d):
+                clean *= 1 - 1 / (1 + np.exp(-(b + w[feature[sentence == s]].sum())))
+            clean = min(clean, 1 - 1e-12)
+            total -= weights[d] * np.log(1 - clean if labels[d] else clean)
+        return total / weights.sum() + 0.01 * n_docs / weights.sum() * (w @ w) / 2
+
+    w, b, step = rng.normal(size=n_words), -0.5, 1e-6
+    g, gb = toxicity.gradient(w, b, feature, sentence, doc, labels, weights, 0.01)
+    for k in range(n_words):
+        e = np.eye(n_words)[k] * step
+        assert g[k] == pytest.approx((loss(w + e, b) - loss(w - e, b)) / (2 * step), abs=1e-6)
+    if np.all(np.isin(np.arange(n_docs), doc)):
+        assert gb == pytest.approx((loss(w, b + step) - loss(w, b - step)) / (2 * step), abs=1e-6)
+
+
+def test_every_predicted_text_has_an_offending_sentence(spark):
+    # No sentence reaches half the threshold by itself, but together they reach it.
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -3.0)
+    texts = [". ".join(["one two three"] * n) for n in (1, 40)]
+    got = {r["doc_id"]: r for r in toxicity.score(docs(spark, [(i, t, "", "") for i, t in enumerate(texts)]), model).collect()}
+    assert got[0]["predicted"] == 0 and got[0]["offending"] == []
+    assert got[1]["predicted"] == 1 and len(got[1]["offending"]) >= 1
+
+
+def test_token_counts_forget_by_bytes(monkeypatch):
+    text = " ".join("abcdefgh" * 50 + str(i) for i in range(200))
+    counter = token_counts.Counter(token_counts.vocabulary(_path("piece_bpe_32k.model")))
+    want = counter.text(text)
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 100_000)
+    small = token_counts.Counter(token_counts.vocabulary(_path("piece_bpe_32k.model")))
+    for _ in range(3):
+        assert small.text(text) == want
+    small.texts(["short words alone"])
+    assert small.held <= 100_000 and len(small.known) < 10
+
+
 def test_toxicity_learns_from_no_held_out_label(spark):
     table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = toxicity.remainder(toxicity.F.col("doc_id")) == 2
