@@ -20,10 +20,6 @@ def right_closed_bins(x: Column, edges: list[float], zero: str = "000_zero") ->
     return chain(cases, f"{len(edges):03d}_above_{edges[-1]:g}")
 
 
-def left_closed_bins(x: Column, edges: list[float]) -> Column:
-    return chain([((x >= lo) & (x < hi), f"{lo:g}_to_{hi:g}") for lo, hi in zip(edges, edges[1:], strict=False)], f"{edges[-1]:g}_plus")
-
-
 def split_of_year(year: Column, splits: dict[str, list[int]]) -> Column:
     return chain([(year.isin(years), name) for name, years in splits.items()])
 

@@ -45,10 +45,26 @@ def with_totals(df: DataFrame, key: str, aggregates: list[Column], total: str =
     return grouped.withColumn(key, F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col("_key"))).drop("_key", "_all")
 
 
+def level(score: Column, thresholds: list[float]) -> Column:
+    """How many of the ascending thresholds a score reaches (null and NaN as comparisons have it: none, and all).
+
+    On an even grid the place is computed and then checked against the thresholds on both sides of it, so that rounding
+    decides nothing; on another one the thresholds are tried.
+    """
+    grid, n = F.array(*[F.lit(t) for t in thresholds]), len(thresholds)
+    step = (thresholds[-1] - thresholds[0]) / (n - 1) if n > 1 else 0.0
+    if step <= 0 or any(abs(t - thresholds[0] - i * step) > 0.01 * step for i, t in enumerate(thresholds)):
+        return F.size(F.filter(grid, lambda t: score >= t))
+    near = F.greatest(F.lit(-1.0), F.least(F.lit(float(n - 1)), (score.cast("double") - thresholds[0]) / step))
+    k = (F.floor(near) + 1).cast("int")
+    more, less = F.coalesce(score >= F.get(grid, k), F.lit(False)), F.coalesce(score < F.get(grid, k - 1), F.lit(False))
+    placed = k + F.when(more, 1).otherwise(0) - F.when(less, 1).otherwise(0)
+    return F.when(score.isNull(), 0).when(F.isnan(score.cast("double")), n).otherwise(placed).cast("int")
+
+
 def threshold_sweep(df: DataFrame, observed: Column, score: Column, thresholds: list[float]) -> DataFrame:
     """Confusion counts at each threshold: scores are counted by the last threshold they reach, then summed from above."""
-    grid = F.array(*[F.lit(t) for t in thresholds])
-    reached = df.select(observed.alias("y"), F.size(F.filter(grid, lambda t: score >= t)).alias("k")).groupBy("k").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    reached = df.select(observed.alias("y"), level(score, thresholds).alias("k")).groupBy("k").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
     steps = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(t).alias("threshold")) for i, t in enumerate(thresholds, 1)])
     levels = reached.sparkSession.range(1).select(F.explode(steps).alias("s")).select("s.level", "s.threshold")
     counts = levels.join(F.broadcast(reached), F.col("k") >= F.col("level"), "left").groupBy("threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))

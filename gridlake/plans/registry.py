@@ -259,6 +259,7 @@ def _(spark, d):
 
 
 from gridlake.plans import (  # noqa: E402, F401
+    analyses,
     binary,
     comparisons,
     diagnostics,

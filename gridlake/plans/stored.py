@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlake.functions import classify
 from gridlake.operators import metric_state
 from gridlake.plans.base import query
 from gridlake.sources.tables import (
@@ -45,8 +46,9 @@ FROM m"""
 
 
 def _labelled(rows):
-    source = F.when(F.col("source") == "N", "assumed_background").otherwise("observed")
-    return rows.withColumns({"label_source": source, "observed_area": F.col("observed") * 900, "predicted_area": F.col("predicted") * 900})
+    named = rows.withColumn("is_observed", F.col("source") != "N")
+    areas = {f"{c}_area": classify.clipped_area(F.col(c)) for c in ("observed", "predicted")}
+    return named.withColumns({"label_source": classify.label_source(["is_observed"]), **areas})
 
 
 def _finished(state):
