@@ -41,7 +41,8 @@ def ranges(rows: DataFrame, order: list[str], most: int = RANGE) -> DataFrame:
 
 
 def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
-    """A row for each distinct (keys, value): the sums over its rows, and before_<name> over the rows of smaller values.
+    """A row for each distinct (keys, value): the sums over its rows, before_<name> over the rows of smaller values of its
+    keys, and total_<name> over all of them.
 
     Rows whose value is null or NaN are left out; null keys are keys like others, and infinite values are values.
     """
@@ -51,29 +52,29 @@ def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column])
     smaller = Window.rowsBetween(Window.unboundedPreceding, -1)
     before = lambda n, order: F.coalesce(F.sum(n).over(order), F.lit(0))
     if per.count() <= RANGE:
-        inside = smaller.partitionBy(*keys).orderBy(value)
-        return per.select("*", *[before(n, inside).alias(f"before_{n}") for n in names])
+        inside, whole = smaller.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
+        return per.select("*", *[before(n, inside).alias(f"before_{n}") for n in names], *[F.sum(n).over(whole).alias(f"total_{n}") for n in names])
     placed = ranges(per, [*keys, value])
     totals = placed.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in names])
     order = smaller.partitionBy(*keys).orderBy("_range")
-    earlier = totals.select(*keys, "_range", *[before(n, order).alias(f"_{n}") for n in names])
+    whole = Window.partitionBy(*keys)
+    earlier = totals.select(*keys, "_range", *[before(n, order).alias(f"_{n}") for n in names], *[F.sum(n).over(whole).alias(f"total_{n}") for n in names])
     inside = smaller.partitionBy("_range", *keys).orderBy(value)
     placed = placed.select("*", *[before(n, inside).alias(f"_in_{n}") for n in names])
     joined = placed.alias("a").join(earlier.alias("b"), _same([*keys, "_range"]))
     return joined.select(
         *[F.col(f"a.{c}").alias(c) for c in [*keys, value, *names]],
         *[(F.col(f"a._in_{n}") + F.col(f"b._{n}")).alias(f"before_{n}") for n in names],
+        *[F.col(f"b.total_{n}").alias(f"total_{n}") for n in names],
     )
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles (linear between the neighbouring ranks) of each group, one column for each of points."""
-    per = running(df, keys, value, {"n": F.count(F.lit(1))})
-    totals = per.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    rows = per.alias("a").join(totals.alias("b"), _same(keys)).select(*[F.col(f"a.{c}").alias(c) for c in per.columns], F.col("b._total").alias("_total"))
+    rows = running(df, keys, value, {"n": F.count(F.lit(1))})
     out = []
     for name, q in points.items():
-        spot = F.lit(float(q)) * (F.col("_total") - 1)
+        spot = F.lit(float(q)) * (F.col("total_n") - 1)
         holds = lambda rank: (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
         low, high = (F.max(F.when(holds(r), F.col(value))) for r in (F.floor(spot), F.ceil(spot)))
         out.append((low + (high - low) * F.max(spot - F.floor(spot))).alias(name))
@@ -108,10 +109,8 @@ def areas(df: DataFrame, keys: list[str], observed: Column, score: str) -> DataF
     Rows without a score are left out. AUROC is null without both classes, average precision without positives.
     """
     y = F.coalesce(observed, F.lit(False)).cast("long")
-    per = running(df, keys, score, {"pos": F.sum(y), "neg": F.sum(1 - y)})
-    totals = per.groupBy(*keys).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    rows = per.alias("a").join(totals.alias("b"), _same(keys)).select(*[F.col(f"a.{c}").alias(c) for c in per.columns], "_pos", "_neg")
-    pos, neg = F.col("_pos") - F.col("before_pos"), F.col("_neg") - F.col("before_neg")  # at least this score
+    rows = running(df, keys, score, {"pos": F.sum(y), "neg": F.sum(1 - y)})
+    pos, neg = F.col("total_pos") - F.col("before_pos"), F.col("total_neg") - F.col("before_neg")  # at least this score
     won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     step = F.sum(F.col("pos") * F.try_divide(pos, pos + neg))
-    return rows.groupBy(*keys).agg(F.try_divide(won, F.max("_pos") * F.max("_neg")).alias("auroc"), F.try_divide(step, F.max("_pos")).alias("average_precision"))
+    return rows.groupBy(*keys).agg(F.try_divide(won, F.max("total_pos") * F.max("total_neg")).alias("auroc"), F.try_divide(step, F.max("total_pos")).alias("average_precision"))
