@@ -20,7 +20,7 @@ from .word_ids import parts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 160 << 20
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _LOADED: dict[str, tuple] = {}
 
