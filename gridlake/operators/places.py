@@ -11,6 +11,8 @@ from gridlake.sources.tables import saved
 BOX = ("x0", "y0", "x1", "y1")
 #: Buckets of level k are 2 ** k wide; boxes of no more than 2 ** LOWEST are at that level.
 LOWEST, HIGHEST = -20, 62
+#: Ids of equal points or equal polygons that are held in one row, about.
+TOGETHER = 1024
 
 
 def _levelled(boxes: DataFrame) -> DataFrame:
@@ -91,27 +93,48 @@ def cover(edges: DataFrame, size: float) -> DataFrame:
     return marked.groupBy("polygon", "i", "j").agg(F.bool_and("inside").alias("inside"))
 
 
+def _together(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """rows that are equal in keys as one: keys and their members in an array, several rows of about TOGETHER members
+    each where there are more."""
+    many = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TOGETHER)
+    part = F.pmod(F.xxhash64(member), F.ceil(F.coalesce("_n", F.lit(1)) / TOGETHER))
+    return rows.join(many, keys, "left").groupBy(*keys, part.alias("_part")).agg(F.collect_list(member).alias("members")).drop("_part")
+
+
 def in_polygons(points: DataFrame, vertices: DataFrame, size: float) -> DataFrame:
     """Pairs of points (id, x, y) and the polygons that hold them, by the even-odd rule over all rings of a polygon, so that
     a ring within another is a hole.
 
     vertices: polygon, ring, seq, x, y. size: of the cells that polygons are covered with; it changes the work, not the
     pairs. Points in cells within a polygon are not tried at all, those in cells with a side against the polygon's sides
-    alone. A point without coordinates is in no polygon.
+    near that row of cells alone. Points at one place are tried once, and so are polygons with the same sides: their pairs
+    are made from arrays of ids after the test. A point without coordinates is in no polygon.
     """
-    edges = saved(edges_of(vertices.where("x IS NOT NULL AND y IS NOT NULL")), "edges")
-    cells = saved(cover(edges, size), "cover")
-    placed = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    met = placed.join(cells, ["i", "j"])
-    sides = edges.groupBy("polygon").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("sides"))
+    edges = edges_of(vertices.where("x IS NOT NULL AND y IS NOT NULL"))
+    sides = edges.groupBy("polygon").agg(F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("sides"))
+    shapes = _together(saved(sides, "sides"), ["sides"], "polygon").withColumnRenamed("members", "polygons")
+    shapes = saved(shapes.withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    cells = cover(shapes.select(F.col("shape").alias("polygon"), F.explode("sides").alias("s")).select("polygon", "s.*"), size)
+    cells = saved(cells.withColumnRenamed("polygon", "shape"), "cover")
+    slack = size / 100  # sides this near a row of cells are kept with it; those further off cross none of its points
+    low, high = F.col("j") * size - slack, (F.col("j") + 1) * size + slack
+    near = F.filter("sides", lambda s: (F.least(s["y1"], s["y2"]) <= high) & (F.greatest(s["y1"], s["y2"]) >= low))
+    held = cells.join(shapes, "shape").select("i", "j", "inside", F.when(~F.col("inside"), near).alias("sides"), "polygons")
+    known = points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    spots = _together(known, ["x", "y"], "id").withColumnRenamed("members", "ids")
+    placed = spots.withColumns({"i": F.floor(F.col("x") / size), "j": F.floor(F.col("y") / size)})
+    # The pairs may be many more than what they are made from: the number of tasks is fixed, not cut down to small input.
+    spark = points.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = placed.repartition(tasks, "i", "j").join(held.repartition(tasks, "i", "j"), ["i", "j"])
 
     def crossed(s: Column) -> Column:
         spans = (s["y1"] > F.col("y")) != (s["y2"] > F.col("y"))
         return spans & (F.col("x") < (s["x2"] - s["x1"]) * (F.col("y") - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])
 
     crossings = F.aggregate("sides", F.lit(0), lambda n, s: n + F.when(F.try_divide(F.lit(1.0), s["y2"] - s["y1"]).isNotNull() & crossed(s), 1).otherwise(0))
-    tried = met.where("NOT inside").join(sides, "polygon").where(crossings % 2 == 1)
-    return met.where("inside").select("id", "polygon").unionByName(tried.select("id", "polygon"))
+    found = met.where(F.col("inside") | (crossings % 2 == 1))
+    return found.select("polygons", F.explode("ids").alias("id")).select("id", F.explode("polygons").alias("polygon"))
 
 
 def nearest_centre(points: DataFrame, value: str, centres: DataFrame, centre: str) -> DataFrame:

@@ -61,6 +61,18 @@ def test_points_in_polygons_with_holes_and_several_rings(spark):
     assert cells.where("inside").count() > 0 and cells.count() == cells.select("polygon", "i", "j").distinct().count()
 
 
+def test_points_and_polygons_that_are_equal_are_tried_once_and_keep_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(places, "TOGETHER", 4)
+    square = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
+    vertices = [(p, 0, i, x + p % 2, y) for p in range(30) for i, (x, y) in enumerate(square)]
+    points = [(i, 0.5 if i % 3 else 1.5, 0.25) for i in range(50)] + [(99, math.nan, 0.25), (98, 0.5, math.nan)]
+    want = sorted((i, p) for i, x, _ in points[:50] for p in range(30) if -1 + p % 2 <= x < 1 + p % 2)
+    table, corners = spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(vertices, "polygon int, ring int, seq int, x double, y double")
+    assert sorted(map(tuple, places.in_polygons(table, corners, 0.5).collect())) == want
+    shared = places._together(table.where("id < 50"), ["x", "y"], "id").collect()
+    assert sorted(i for r in shared for i in r["members"]) == list(range(50)) and len(shared) < 30
+
+
 def test_nearest_centres_are_carried_between_ranges(spark, monkeypatch):
     monkeypatch.setattr(ordered.ranges, "__defaults__", (40,))
     rng = random.Random(3)
