@@ -4,6 +4,7 @@ percentiles, average ranks, areas under curves.
 Rows are first counted by distinct value (combined before the shuffle), so that a hot value is one row. Up to RANGE such
 rows in all are ordered as they are. More are dealt to ranges by splitters that Spark samples from them, whatever their
 distribution: within a range they are ordered together, and the ranges' totals, few for each group, are what came before.
+Percentiles need few ranks, so that only the values near these are counted at all.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import functools
 import math
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from gridlake.sources.tables import saved
 
 #: Distinct (keys, value) of a range at most.
 RANGE = 1 << 17
+#: Percentiles count values in the square of so many buckets first.
+BUCKETS = 16
 
 
 def _same(keys: list[str]) -> Column:
@@ -69,16 +73,49 @@ def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column])
     )
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact percentiles (linear between the neighbouring ranks) of each group, one column for each of points."""
-    rows = running(df, keys, value, {"n": F.count(F.lit(1))})
-    out = []
-    for name, q in points.items():
-        spot = F.lit(float(q)) * (F.col("total_n") - 1)
-        holds = lambda rank: (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
+def cuts(rows: DataFrame, value: str) -> list[float]:
+    """Ascending values that deal rows to BUCKETS ** 2 buckets, about even ones if the values are distinct."""
+    n = BUCKETS * BUCKETS
+    return rows.agg(F.percentile_approx(F.col(value).cast("double"), [k / n for k in range(1, n)], 8 * n)).first()[0] or []
+
+
+def bucket(value: str, at: list[float]) -> Column:
+    """How many of the ascending values at are not above value: counted among every BUCKETS-th, then among those between."""
+    v = F.col(value).cast("double")
+    passed = lambda among: F.size(F.filter(among, lambda c: c <= v))
+    parts = F.array(*[F.array(*[F.lit(float(c)) for c in at[k : k + BUCKETS - 1]]).cast("array<double>") for k in range(0, len(at) + 1, BUCKETS)])
+    part = passed(F.array(*[F.lit(float(c)) for c in at[BUCKETS - 1 :: BUCKETS]]).cast("array<double>"))
+    return part * BUCKETS + passed(F.get(parts, part))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Exact percentiles (linear between the neighbouring ranks) of each group, one column for each of points.
+
+    Rows are first counted by group and bucket of values. Only those of the buckets with a wanted rank are then counted by
+    distinct value, so that what is shuffled and ordered is a small part of df. df is saved and read twice. spread: makes
+    rows (keys, value, _bucket) of the saved ones, such as one for each context, so that these are never stored.
+    """
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    rows = saved(known if spread else known.select(*dict.fromkeys([*keys, value])), "known")
+    each = (spread or (lambda r: r))(rows.withColumn("_bucket", bucket(value, cuts(rows, value) if rows.count() > RANGE else [])))
+    counted = saved(each.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_m")), "buckets")
+    whole = Window.partitionBy(*keys)
+    smaller = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.select("*", F.coalesce(F.sum("_m").over(smaller), F.lit(0)).alias("_base"), F.sum("_m").over(whole).alias("_total"))
+    spots = {name: F.lit(float(q)) * (F.col("_total") - 1) for name, q in points.items()}
+    ranks = [end(spot) for spot in spots.values() for end in (F.floor, F.ceil)]
+    hit = functools.reduce(operator.or_, [(F.col("_base") <= r) & (r < F.col("_base") + F.col("_m")) for r in ranks], F.lit(False))
+    wanted = saved(placed.where(hit).drop("_m"), "wanted")  # a few rows a group
+    small = F.broadcast(wanted) if wanted.count() <= RANGE else wanted
+    met = each.alias("a").join(small.alias("b"), _same([*keys, "_bucket"]))
+    met = met.select(*[F.col(f"a.{c}").alias(c) for c in [*keys, value, "_bucket"]], "_base", "_total")
+    per = running(met, [*keys, "_bucket", "_base", "_total"], value, {"n": F.count(F.lit(1))})
+    before, out = F.col("_base") + F.col("before_n"), []
+    for name, spot in spots.items():
+        holds = lambda rank: (before <= rank) & (rank < before + F.col("n"))
         low, high = (F.max(F.when(holds(r), F.col(value))) for r in (F.floor(spot), F.ceil(spot)))
         out.append((low + (high - low) * F.max(spot - F.floor(spot))).alias(name))
-    return rows.groupBy(*keys).agg(*out)
+    return per.groupBy(*keys).agg(*out)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:

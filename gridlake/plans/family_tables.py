@@ -120,8 +120,8 @@ _POINTS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95":
 
 @query("probability_context_quantiles", _sql(", ".join(_r(f"quantile_cont(p, {q})", n) for n, q in _POINTS.items())))
 def _(spark, d):
-    each = joins.contexts(rows(spark, d), {c: F.col(c) for c in CONTEXTS}, [*BASE, "p"])
-    found = ordered.percentiles(each, [*BASE, "context_type", "context_value"], "p", _POINTS)
+    each = lambda r: joins.contexts(r, {c: F.col(c) for c in CONTEXTS}, [*BASE, "p", "_bucket"])
+    found = ordered.percentiles(rows(spark, d).select(*BASE, "p", *CONTEXTS), [*BASE, "context_type", "context_value"], "p", _POINTS, each)
     return _rounded(found)
 
 

@@ -317,3 +317,26 @@ def test_nearest_positive_of_a_dense_raster_in_strips(spark, monkeypatch):
     for r in range(60):
         for c in range(45):
             assert got[r - 20, c - 10] == pytest.approx(np.hypot(hits[:, 0] - r, hits[:, 1] - c).min())
+
+
+def test_percentiles_count_only_values_near_the_wanted_ranks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE", 400)
+    seen, running = [], ordered.running
+    monkeypatch.setattr(ordered, "running", lambda df, *rest: (seen.append(df.count()), running(df, *rest))[1])
+    rng = np.random.default_rng(5)
+    values = np.r_[rng.lognormal(0, 3, 9000), np.repeat(7.25, 500), -rng.random(500), np.inf]
+    rows = [(None if i % 3 == 0 else "b", float(x)) for i, x in enumerate(values)] + [("b", None), ("b", math.nan)]
+    points = {"p00": 0.0, "p50": 0.5, "p95": 0.95}
+    found = ordered.percentiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", points)
+    got = {r["k"]: [r[n] for n in points] for r in found.collect()}
+    for k in (None, "b"):
+        own = [x for key, x in rows if key == k and x is not None and x == x]
+        assert got[k] == pytest.approx([np.percentile(own, 100 * q) for q in points.values()])
+    assert len(seen) == 1 and seen[0] < len(values) / 10
+
+
+def test_buckets_of_values_ascend(spark):
+    at = [float(k) for k in range(1, 256)]
+    for cut in ([], at[:1], at[:15], at[:16], at[:40], at):
+        rows = spark.createDataFrame([(x / 2,) for x in range(-2, 520)] + [(math.inf,)], "x double").select("x", ordered.bucket("x", cut).alias("b")).collect()
+        assert [r["b"] for r in rows] == [sum(c <= r["x"] for c in cut) for r in rows]
