@@ -24,9 +24,10 @@ from . import common
 from .word_ids import gather, parts
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Bytes, about, that a task spends on remembered words before it starts afresh, and what an entry needs besides its text.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 230
-#: Text bytes encoded together; one text is never cut.
+#: Bytes, about, that a task spends on remembered words before it starts afresh, where nothing else is said and where
+#: packing has an application to itself, and what an entry needs besides its text.
+CACHE_BYTES, ALONE_BYTES, ENTRY_BYTES = 48 << 20, 144 << 20, 230
+#: Text bytes encoded together, or a 64th of what may be remembered if that is more; one text is never cut.
 TOGETHER_BYTES = 1 << 20
 #: Words of letters that are encoded as one text.
 TOGETHER = 2000
@@ -42,7 +43,7 @@ class WordEncoder:
     after each token that ends a word; where there are not as many ends as words, one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker a core already
         from tokenizers import Tokenizer
 
@@ -54,7 +55,7 @@ class WordEncoder:
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, most
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -76,7 +77,7 @@ class WordEncoder:
     def of_words(self, words: list[str]) -> list[bytes]:
         new = [word for word in words if word not in self.known]
         size = sum(map(len, new)) + ENTRY_BYTES * len(new)
-        if self.held + size > CACHE_BYTES and self.known:
+        if self.held + size > self.most and self.known:
             self.known, new, self.held = {}, words, 0
             size = sum(map(len, new)) + ENTRY_BYTES * len(new)
         self.held += size
@@ -168,7 +169,7 @@ class Packer:
             self.close(taken)
 
 
-def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float):
+def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float, remembered: int):
     kinds = (pa.int64(),) * 6 + (pa.binary(),)
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
@@ -180,10 +181,10 @@ def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float):
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Made for each task: what it remembers goes with it, so idle workers stay small.
-        encode, end = WordEncoder(path), end_id.to_bytes(4, "little")
+        encode, end = WordEncoder(path, remembered), end_id.to_bytes(4, "little")
         packer = Packer(capacity, classes, waste, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for at, texts in parts(batch.column("text"), TOGETHER_BYTES):
+            for at, texts in parts(batch.column("text"), max(TOGETHER_BYTES, remembered // 64)):
                 ids, offsets = encode(texts)
                 docs = batch.column("doc_id").slice(at, len(texts)).to_pylist()
                 for doc, a, b in zip(docs, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -195,21 +196,22 @@ def _packed(path: str, capacity: int, end_id: int, classes: int, waste: float):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, classes: int = 32, waste: float = 1 / 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, classes: int = 32, waste: float = 1 / 32, remembered: int = CACHE_BYTES) -> DataFrame:
     """Tokenise docs and pack the ids, end_id after each document, into sequences of at most capacity tokens.
 
-    docs: doc_id, text; other columns are ignored. tokenizer: path of the tokenizer's file, on every worker.
+    docs: doc_id, text; other columns are ignored. tokenizer: path of the tokenizer's file, on every worker. remembered:
+    bytes that a task may spend on the ids of words; it changes the work, not the pieces.
     Returns one row per piece: doc_id, start (ids of its document before it), length, doc_tokens, sequence_id,
     offset in the sequence, ids (little-endian unsigned 32-bit). Null and empty texts are the single id end_id; null
     and repeated doc_ids are documents like others; strings of special tokens are encoded as ordinary text, as the
     tokenizers' notes prescribe (encode_special_tokens); a document longer than capacity fills sequences of its own and
     its rest is packed; an empty table gives an empty one.
     """
-    return docs.select("doc_id", "text").mapInArrow(_packed(tokenizer, capacity, end_id, classes, waste), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(_packed(tokenizer, capacity, end_id, classes, waste, remembered), PIECES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), remembered=ALONE_BYTES)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

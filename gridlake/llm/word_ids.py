@@ -37,11 +37,11 @@ def gather(texts: pa.Array, later: Blobs, first: Blobs | None = None) -> tuple[n
     word_at -= word_at[0]
     coded = cut.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    blobs = later(coded.dictionary.to_pylist())
+    blobs = later(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
     if first is not None:
         begun = cut.flatten().take(pa.array(word_at[:-1])).dictionary_encode()
         codes[word_at[:-1]] = len(blobs) + begun.indices.to_numpy(zero_copy_only=False)
-        blobs = blobs + first(begun.dictionary.to_pylist())
+        blobs = blobs + first(begun.dictionary.to_numpy(zero_copy_only=False).tolist())
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     pool, begins = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(sizes) - sizes
     taken = sizes[codes]

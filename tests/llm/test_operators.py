@@ -469,3 +469,13 @@ def test_pipeline_keeps_clean_rows_and_columns(spark):
         assert kept.join(before, "doc_id", "left_anti").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pieces_do_not_depend_on_what_is_remembered(spark):
+    import public_tokenizers
+
+    words = ["Über", "naïve", "don't", "word", "<|endoftext|>", "x9.", "\u00e9\u0301a"]
+    texts = [" ".join(words[(i * k) % len(words)] + "ab"[i % 2] * (i % 5) for k in range(1, 60)) for i in range(40)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = [packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 64, remembered=n).collect() for n in (0, 3000, 1 << 27)]
+    assert found[0] == found[1] == found[2] and sum(r["length"] for r in found[0] if r["doc_id"] >= 40) == 2
