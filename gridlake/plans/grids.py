@@ -15,7 +15,9 @@ _EDGE = "CASE WHEN positive AND c3 <= 1 THEN 'isolated_positive' WHEN positive A
 
 
 def cells(spark, d):
-    found = observations(spark, d).groupBy("row", "col").agg(F.avg("observed").alias("a"))
+    """Cells with their mean to 12 digits: shares are whole 50ths, and a mean that is just a threshold counts as reaching
+    it, in whatever order the rows were summed."""
+    found = observations(spark, d).groupBy("row", "col").agg(F.round(F.avg("observed"), 12).alias("a"))
     return found.withColumn("positive", F.col("a") >= 0.62)
 
 
