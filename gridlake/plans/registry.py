@@ -142,7 +142,8 @@ def _(spark, d):
  FROM c LEFT JOIN c p ON p.cell_id = c.cell_id AND p.year = c.year - 1 GROUP BY 1""",
 )
 def _(spark, d):
-    v, b = F.col("v") >= 0.5, F.coalesce("before", F.lit(0.0)) >= 0.5
+    # Sums to 12 digits: one that is just the threshold reaches it, in whatever order its rows were summed.
+    v, b = F.round("v", 12) >= 0.5, F.coalesce(F.round("before", 12), F.lit(0.0)) >= 0.5
     named = classify.chain([(v & b, "persistent"), (v, "new"), (b, "lost")], "low")
     return _with_previous(_yearly(spark, d)).groupBy(named.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -340,3 +340,21 @@ def test_buckets_of_values_ascend(spark):
     for cut in ([], at[:1], at[:15], at[:16], at[:40], at):
         rows = spark.createDataFrame([(x / 2,) for x in range(-2, 520)] + [(math.inf,)], "x double").select("x", ordered.bucket("x", cut).alias("b")).collect()
         assert [r["b"] for r in rows] == [sum(c <= r["x"] for c in cut) for r in rows]
+
+
+def test_means_and_sums_just_at_a_threshold_reach_it_in_any_order(spark, tmp_path):
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate string"
+
+    def read(name, groups):
+        rows = [(i, 1, part, float(q), 100.0, "A", "1995-03-01") for i, (part, q) in enumerate((p, q) for p, found in groups for q in found)]
+        table = spark.createDataFrame(rows, kinds).withColumn("l_shipdate", F.to_timestamp("l_shipdate")).coalesce(1)
+        table.write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        return f"{tmp_path}/{name}"
+
+    mean = [42, 24, 8, 44, 37]  # shares of mean 0.62; summed as they stand they fall short of it
+    folder = read("means", [(0, mean), (10, mean[::-1]), (20, sorted(mean))])
+    assert {r["col"]: r["positive"] for r in registry.QUERIES["grid_context"](spark, folder).collect()} == {0: True, 10: True, 20: True}
+    assert registry.QUERIES["connected_components"](spark, folder).count() == 3
+    total = [15, 8, 2]  # shares of sum 0.5
+    folder = read("sums", [(0, total), (10, total[::-1]), (20, [15, 2, 8])])
+    assert [tuple(r) for r in registry.QUERIES["previous_year_class"](spark, folder).collect()] == [("new", 3)]
